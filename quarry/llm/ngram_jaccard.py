@@ -23,7 +23,7 @@ Shingles are compared by 64-bit hash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -35,34 +35,41 @@ from quarry.llm.common import cut, free_shuffles, small_batches, small_side
 from quarry.llm.graph import components as connected
 from quarry.llm.textkernel import U, column, mix, shingle_sets
 
-WIDTH, PERCENT, SKETCH_BITS, BLOCK, HOT_LIST = 5, 80, 18, 1024, 4096
+WIDTH, PERCENT, SKETCH_BITS, BLOCK, HOT_LIST = 5, 80, 23, 1024, 4096
 _SLICES = 256
 
 
 def _sketch(docs: DataFrame, width: int, bits: int) -> np.ndarray:
-    """Occurrences of shingles (once per document) in 2**bits hashed counters, over all rows; its size is fixed."""
+    """Occurrences of shingles (once per document) in 2**bits hashed counters of one byte, over all rows; its size is fixed."""
 
     def count(batches):
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros(1 << bits, np.uint32)
         for b in batches:
             for s in shingle_sets(*column(b.column(0)), width):
                 np.add.at(total, (s >> U(64 - bits)).astype(np.int64), 1)
-        parts = total.reshape(_SLICES, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["k", "c"])
+        parts = [zlib.compress(p.tobytes(), 1) for p in total.reshape(_SLICES, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array(parts, pa.binary())], ["k", "c"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                c = np.frombuffer(c, np.int64)
+                c = np.frombuffer(zlib.decompress(c), np.uint32).astype(np.int64)
                 sums[k] = sums[k] + c if k in sums else c
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["k", "c"])
+        coded = [scale(v).tobytes() for v in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(coded, pa.binary())], ["k", "c"])
 
     parts = docs.select("text").mapInArrow(count, "k int, c binary").repartition("k").mapInArrow(add, "k int, c binary").collect()
-    out = np.zeros((_SLICES, (1 << bits) // _SLICES), np.int64)
+    out = np.zeros((_SLICES, (1 << bits) // _SLICES), np.uint8)
     for r in parts:
-        out[r.k] += np.frombuffer(r.c, np.int64)
-    return np.minimum(out.reshape(-1), (1 << 24) - 1).astype(np.uint32)
+        out[r.k] = np.frombuffer(r.c, np.uint8)
+    return out.reshape(-1)
+
+
+def scale(counts: np.ndarray) -> np.ndarray:
+    """Counts in one byte each, order kept: exact to 127, then 8 steps a doubling."""
+    steps = 128 + np.floor(8 * np.log2(np.maximum(counts, 128) / 128))
+    return np.where(counts < 128, counts, np.minimum(steps, 255)).astype(np.uint8)
 
 
 def rare_first(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:

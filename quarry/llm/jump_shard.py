@@ -98,7 +98,7 @@ WITH RECURSIVE t0(i, k, c) AS (
 tab AS (SELECT list(c ORDER BY i) AS tab FROM t0 WHERE k = 8),
 d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents),
 h AS (SELECT rid, doc_id, octet_length(encode(text)) AS nb, hex(encode(text)) AS hx FROM d),
-bytes AS (SELECT rid, doc_id, nb, list_transform(range(nb), lambda i: (strpos('0123456789ABCDEF', hx[2*i+1:2*i+1]) - 1) * 16 + strpos('0123456789ABCDEF', hx[2*i+2:2*i+2]) - 1) AS bs FROM h),
+bytes AS (SELECT rid, doc_id, nb, list_transform(regexp_extract_all(hx, '..'), lambda x: ('0x' || x)::BIGINT) AS bs FROM h),
 crc AS (SELECT rid, doc_id, nb, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(bs, lambda x: x::BIGINT)),
     lambda c, x: xor(c // 256, tab.tab[xor(c, x) % 256 + 1])), 4294967295) AS crc FROM bytes, tab),
 ids AS (SELECT DISTINCT doc_id, CASE WHEN coalesce(doc_id, 0) < 0 THEN doc_id::HUGEINT + 18446744073709551616::HUGEINT ELSE coalesce(doc_id, 0)::HUGEINT END AS seed FROM documents),

@@ -141,7 +141,7 @@ base(label, phrase) AS (VALUES {bases}),
 p AS (SELECT rid, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + len(phrase)] = phrase)) AS start FROM d, base),
 pb AS (SELECT rid, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list(DISTINCT label) AS ls FROM p GROUP BY rid),
 sets(label, tokens, k, need) AS (VALUES {sets}),
-s AS (SELECT rid, label, list_max(list_transform(range(greatest(len(w) - k, 0) + 1), lambda i: len(list_intersect(w[i + 1:i + k], tokens)))) AS top, need, len(tokens) AS m FROM d, sets),
+s AS (SELECT rid, label, list_max(list_transform(range(greatest(len(w) - k, 0) + 1), lambda i: len(list_intersect(w[i + 1:i + k], tokens)))) AS top, need, len(tokens) AS m FROM d, sets WHERE len(list_intersect(list_distinct(w), tokens)) >= need),
 sb AS (SELECT rid, list(label) AS ls, max(top / m::DOUBLE) AS score FROM s WHERE top >= need GROUP BY rid)
 SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
   coalesce(array_to_string(list_sort(pb.ls), ','), '') AS base_labels,

@@ -13,6 +13,11 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
+def drawn(doc_id: Column) -> Column:
+    """A uniform number in [0, 1) by the id's hash: the order in which samples are filled."""
+    return F.xxhash64(doc_id).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
+
+
 def with_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
     """docs(doc_id, text) of a bounded sample(doc_id, ...)."""
     return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")

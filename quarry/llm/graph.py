@@ -11,8 +11,8 @@ from quarry.llm.common import cut
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of edges (a, b), label the smallest node of its component.
 
-    In each round every vertex hooks onto its smallest neighbour, parents are followed once more, and edges are
-    renamed by the result, so the number of vertices at least halves. Aggregates are partial before the shuffle; joins on a
+    In each round every vertex hooks onto its smallest neighbour, parents are followed to their roots, and edges are
+    renamed by the roots, so the number of vertices at least halves. Aggregates are partial before the shuffle; joins on a
     hub's key have one row on the other side, which adaptive execution may split.
     """
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a != b").distinct()
@@ -21,8 +21,14 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
         parent = both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("p"))
-        up = parent.select(F.col("a").alias("p"), F.col("p").alias("q"))
-        parent = cut(parent.join(up, "p").select("a", "q"))
+        parent = cut(parent)
+        while True:  # pointer jumping: a chain of n parents takes log2(n) turns
+            up = parent.select(F.col("a").alias("p"), F.col("p").alias("q"))
+            jumped = cut(parent.join(up, "p").select("a", "p", "q"))
+            parent = jumped.select("a", F.col("q").alias("p"))
+            if jumped.where("p != q").isEmpty():
+                break
+        parent = parent.withColumnRenamed("p", "q")
         labels = cut(
             labels.join(parent.select(F.col("a").alias("label"), "q"), "label", "left").select("node", F.coalesce("q", "label").alias("label"))
         )

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.llm.common import small_batches
-from quarry.llm.folds import fold, with_texts
+from quarry.llm.folds import drawn, fold, with_texts
 
 BITS, PER_LANGUAGE, EPOCHS = 13, 400, 15
 #: Families of common languages; a language without one is a family of its own.
@@ -112,8 +112,11 @@ class Model:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """A model from docs(doc_id, text, lang): the training folds, at most per_language rows a language."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).select("doc_id", F.col("lang").alias("__lang"))
+    # Counts first (one row a language): then about three times the wanted rows are ranked, however many partitions there are.
+    counts = F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("__n")))
+    near = rows.join(counts, "lang").where(drawn(F.col("doc_id")) < 3.0 * per_language / F.col("__n"))
+    order = Window.partitionBy("lang").orderBy(drawn(F.col("doc_id")), "doc_id")
+    sample = near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).select("doc_id", F.col("lang").alias("__lang"))
 
     def encode(batches):
         for b in batches:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import small_batches
-from quarry.llm.folds import fold, with_texts
+from quarry.llm.folds import drawn, fold, with_texts
 from quarry.llm.textkernel import SPACES, U, column, pieces, words
 
 PASSAGE, MOST, SAMPLE, HIDDEN, GATE, STEPS, THRESHOLD = 64, 256, 6000, 16, 8, 250, 0.3
@@ -77,7 +77,7 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Model:
     def __init__(self, x: np.ndarray, at: np.ndarray, y: np.ndarray, steps: int = STEPS, hidden: int = HIDDEN, gate: int = GATE):
         self.prior = float(y.mean()) if len(y) else 0.5
-        self.trained = 0 < self.prior < 1
+        self.trained = len(y) > 0 and 0 < self.prior < 1
         if not self.trained:
             return
         self.mean, self.std = x.mean(0), x.std(0) + 0.02
@@ -126,7 +126,9 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from docs(doc_id, text) and labels(doc_id, quality): at most `sample` rows of the training folds."""
     rows = labels.where(F.col("quality").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("quality").alias("__y"))
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    # A count first: then about three times the wanted rows are ordered, however many partitions there are.
+    near = rows.where(drawn(F.col("doc_id")) < 3.0 * sample / max(1, rows.count()))
+    chosen = near.orderBy(drawn(F.col("doc_id")), "doc_id").limit(sample)
 
     def encode(batches):
         for b in batches:

@@ -184,7 +184,7 @@ def _both(a: DataFrame, b: DataFrame) -> DataFrame:
     keys = ["doc_id", "n_words"]
     rows = a.select(*keys, F.size("runs").alias("s"), "runs", "items", F.lit(0).alias("z")).union(b.select(*keys, F.size("runs").alias("s"), "runs", "items", F.lit(1).alias("z")))
     merged = rows.groupBy(*keys).agg(F.collect_list("runs").alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.sum(F.lit(1) - F.col("z")).alias("times"))
-    spans = F.array_sort(F.flatten(F.transform("r", lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) / 2 - 1, F.lit(0)).cast("int")), lambda i: F.when(F.size(x) > 0, F.struct(F.get(x, 2 * i).alias("a"), F.get(x, 2 * i + 1).alias("b")))))))
+    spans = F.array_sort(F.flatten(F.transform("r", lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) / 2 - 1, F.lit(0)).cast("int")), lambda i: F.when(F.size(x) > 0, F.named_struct(F.lit("a"), F.get(x, 2 * i), F.lit("b"), F.get(x, 2 * i + 1)))))))
     spans = F.filter(spans, lambda x: x.isNotNull())
     joined = F.aggregate(
         spans,

@@ -21,18 +21,21 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
         parent = both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("p"))
-        parent = cut(parent)
-        while True:  # pointer jumping: a chain of n parents takes log2(n) turns
-            up = parent.select(F.col("a").alias("p"), F.col("p").alias("q"))
-            jumped = cut(parent.join(up, "p").select("a", "p", "q"))
-            parent = jumped.select("a", F.col("q").alias("p"))
-            if jumped.where("p != q").isEmpty():
+        while True:  # pointer jumping: each turn follows four parents at once, so a chain of n takes log4(n) turns
+            two = _jump(parent).select("a", F.col("q").alias("p"))
+            four = cut(_jump(two))
+            parent = four.select("a", F.col("q").alias("p"))
+            if four.where("p != q").isEmpty():
                 break
-        parent = parent.withColumnRenamed("p", "q")
-        labels = cut(
-            labels.join(parent.select(F.col("a").alias("label"), "q"), "label", "left").select("node", F.coalesce("q", "label").alias("label"))
-        )
-        left = edges.join(parent, "a").select(F.col("q").alias("x"), "b")
-        right = left.join(parent.select(F.col("a").alias("b"), F.col("q").alias("y")), "b")
+        root = parent.select("a", F.col("p").alias("q"))
+        # Labels are only renamed at the end: one join a round, no job of its own.
+        labels = labels.join(root.withColumnRenamed("a", "label"), "label", "left").select("node", F.coalesce("q", "label").alias("label"))
+        left = edges.join(root, "a").select(F.col("q").alias("x"), "b")
+        right = left.join(root.select(F.col("a").alias("b"), F.col("q").alias("y")), "b")
         edges = cut(right.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    return labels
+    return cut(labels)
+
+
+def _jump(parent: DataFrame) -> DataFrame:
+    """(a, p, q) with q the parent of p."""
+    return parent.join(parent.select(F.col("a").alias("p"), F.col("p").alias("q")), "p").select("a", "p", "q")

@@ -95,14 +95,18 @@ def junit(findings: DataFrame, limit: int = 5000) -> str:
     return f'<?xml version="1.0" encoding="UTF-8"?>\n<testsuites><testsuite name="audit" tests="{len(cases)}" failures="{failures}">{"".join(cases)}</testsuite></testsuites>\n'
 
 
+def _printable(text) -> str:
+    """Control characters written out, so that captured text cannot drive a terminal."""
+    return re.sub(r"[\x00-\x1f\x7f-\x9f]", lambda m: f"\\x{ord(m[0]):02x}", str(text or ""))
+
+
 def terminal(summary: dict, findings: DataFrame, limit: int = 50, color: bool = False) -> str:
     paint = {"error": "31", "warning": "33", "info": "36"}
     total = findings.count()
-    clean = lambda t: re.sub(r"[\x00-\x1f\x7f-\x9f]", lambda m: f"\\x{ord(m[0]):02x}", str(t or ""))
     out = ["  ".join(f"{k} {v}" for k, v in summary.items())]
     for r in findings.orderBy(rank(), "code", "url", "message").limit(limit).collect():
         label = f"\x1b[{paint[r.severity]}m{r.severity}\x1b[0m" if color else r.severity
-        out.append(f"{label}  {r.code}  {clean(r.url)}  {clean(r.message)}")
+        out.append(f"{label}  {r.code}  {_printable(r.url)}  {_printable(r.message)}")
     if total > limit:
         out.append(f"... and {total - limit} more")
     return "\n".join(out) + "\n"
@@ -142,6 +146,36 @@ def incomplete(captures: DataFrame) -> DataFrame:
     return c.select("completion", "routes")
 
 
+def diff_changes(changes: DataFrame) -> DataFrame:
+    """Changes of two runs in report order: severity, kind, address, code."""
+    return changes.orderBy(rank(), "kind", F.col("url").asc_nulls_first(), "code")
+
+
+def _change_message(c) -> str:
+    if c.kind == "changed":
+        return f"{c.before if c.before is not None else 'none'} -> {c.after if c.after is not None else 'none'}"
+    value = c.after if c.kind == "added" else c.before
+    return c.kind if value is None else f"{c.kind}: {value}"
+
+
+def diff_json(counts: dict, changes: DataFrame, limit: int = 100_000) -> str:
+    """The counts of two runs' changes and the changes, absent values left out."""
+    rows = [c.asDict() for c in diff_changes(changes).limit(limit).collect()]
+    return stable_json({"summary": counts, "changes": rows})
+
+
+def diff_terminal(counts: dict, changes: DataFrame, limit: int = 1000) -> str:
+    """Counts (as `compare.summarize` gives them), then one block a change, at most `limit`, with the number left out."""
+    out = ["Comparison of two audits", *("  ".join(f"{counts[k]} {k}" for k in line) for line in (("added", "removed", "changed"), ("errors", "warnings", "info")))]
+    total = sum(counts[k] for k in ("added", "removed", "changed"))
+    out += [] if total else ["", "Nothing changed."]
+    for c in diff_changes(changes).limit(limit).collect():
+        out += ["", f"[{c.severity.upper()}] {c.code}" + (f"  {_printable(c.url)}" if c.url else ""), _printable(_change_message(c))]
+    if total > limit:
+        out += ["", f"... and {total - limit} more"]
+    return "\n".join(out) + "\n"
+
+
 def render(kind: str, summary: dict, routes: DataFrame, edges: DataFrame, findings: DataFrame) -> str:
     if kind == "json":
         rows = [r.asDict(recursive=True) for r in ordered(findings).drop("seq").limit(100_000).collect()]

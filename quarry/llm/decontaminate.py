@@ -165,6 +165,14 @@ def _pass(docs: DataFrame, index: Index | None, carry: list[str]) -> DataFrame:
     return docs.select(*carry, "text").mapInArrow(run, f"{types}, n_words long, runs array<long>, items array<string>")
 
 
+def _ordered(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK):
+    """Blocks of the benchmark that have windows, with their probe tables."""
+    for index in _blocks(benchmark, window, shingle, block):
+        if index.window:
+            index.order(_count(docs, index.vocabulary))
+            yield index
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """doc_id, n_words, runs (starts and ends of hit words, alternating), items (sorted ids) of every row."""
     small_batches(docs.sparkSession)
@@ -194,13 +202,43 @@ def _both(a: DataFrame, b: DataFrame) -> DataFrame:
     return merged.select(*keys, joined.alias("runs"), "items", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_")).select(*keys, "runs", "items")
 
 
+def _without(docs: DataFrame, index: Index) -> DataFrame:
+    """The rows that hold no window of one block. The decision is made where the text is: the whole row passes through."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            ok = []
+            data, offsets = column(b.column(at))
+            for lo, hi in pieces(offsets):
+                part = offsets[lo : hi + 1]
+                _, per = shared.value.scan(*words(data[part[0] : part[-1]], part - part[0], PUNCT))
+                ok += [r not in per for r in range(hi - lo)]
+            yield b.filter(pa.array(ok, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no window of the benchmark; columns unchanged."""
+    """The rows whose own text holds no window of the benchmark, whatever their doc_id; columns unchanged.
+
+    Rows found by the blocks after the first go by the hash of their text, so a task holds one block at a time."""
     from quarry.llm.common import cut, small_side
 
-    dirty = hits(docs, benchmark, **options).where(F.size("items") > 0)
-    known = cut(dirty.select(F.col("doc_id").alias("__dirty")).distinct())
-    return docs.join(small_side(known), F.col("doc_id").eqNullSafe(F.col("__dirty")), "left_anti")
+    small_batches(docs.sparkSession)
+    found = _ordered(docs, benchmark, **options)
+    first = next(found, None)
+    if first is None:
+        return docs
+    out, more = _without(docs, first), None
+    for index in found:
+        one = _pass(docs.select(F.sha2("text", 256).alias("__text"), "text"), index, ["__text"]).where(F.size("items") > 0).select("__text")
+        more = one if more is None else more.union(one)
+    if more is None:
+        return out
+    dirty = small_side(cut(more.distinct()).withColumnRenamed("__text", "__dirty"))
+    return out.join(dirty, F.sha2("text", 256) == F.col("__dirty"), "left_anti")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

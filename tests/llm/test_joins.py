@@ -201,3 +201,15 @@ def test_clean_and_empty_benchmark(spark, folder):
     assert not any(r.contaminated for r in decontaminate.op8(spark, d).collect())
     d = folder(**tables([], items))
     assert decontaminate.op8(spark, d).count() == 0
+
+
+@pytest.mark.parametrize("block", [decontaminate.BLOCK, 30])
+def test_clean_judges_every_row_by_its_own_text(spark, folder, block):
+    docs, items = benchmark_case(6)
+    docs = [(None if i % 3 else i % 5, t) for i, t in docs]
+    d = folder(**tables(docs, items))
+    t = {n: spark.read.parquet(f"{d}/{n}.parquet") for n in ("documents", "benchmark")}
+    want = Counter(row for row in docs if not brute_hits([row], items)[0][5])
+    assert any(i is None for i, _ in want) and sum(want.values()) < len(docs)
+    out = decontaminate.clean(t["documents"], t["benchmark"], block=block)
+    assert out.columns == t["documents"].columns and Counter((r.doc_id, r.text) for r in out.collect()) == want

@@ -6,7 +6,7 @@ rarest shingle. Documents probe the prefix shingles; a place passes the position
 inside the document around it, and is verified word by word (64-bit word hashes). Rarities are counted over all rows.
 
 The benchmark's index is broadcast in blocks of items whose windows stay within `block` each, so a large benchmark is
-several passes over the documents and never an unbounded broadcast.
+several passes over the documents and never an unbounded broadcast. The blocks' results of a row meet by the hash of its text.
 
 Cases: null texts have no words; items without words give no window; equal windows belong to all their items; repeated
 rows each give a row; an empty benchmark leaves every document clean; empty documents give an empty result; other
@@ -16,6 +16,7 @@ columns are ignored by `hits` and kept by `clean`. A null item_id takes no part.
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -177,21 +178,24 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: i
     """doc_id, n_words, runs (starts and ends of hit words, alternating), items (sorted ids) of every row."""
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    out = None
-    for index in _blocks(benchmark, window, shingle, block):
-        if not index.window:
-            continue
-        index.order(_count(docs, index.vocabulary))
-        one = _pass(docs, index, ["doc_id"])
-        out = one if out is None else _both(out, one)
-    return out if out is not None else _pass(docs, None, ["doc_id"])
-
-
-def _both(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Results of two blocks; rows that share a doc_id and a word count are taken as one document."""
-    keys = ["doc_id", "n_words"]
-    rows = a.select(*keys, F.size("runs").alias("s"), "runs", "items", F.lit(0).alias("z")).union(b.select(*keys, F.size("runs").alias("s"), "runs", "items", F.lit(1).alias("z")))
-    merged = rows.groupBy(*keys).agg(F.collect_list("runs").alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.sum(F.lit(1) - F.col("z")).alias("times"))
+    found = _ordered(docs, benchmark, window, shingle, block)
+    first, second = next(found, None), next(found, None)
+    if second is None:
+        return _pass(docs, first, ["doc_id"])
+    keyed = docs.withColumn("__text", F.sha2("text", 256))
+    more = None
+    for index in chain([second], found):
+        one = _pass(keyed, index, ["__text"]).where(F.size("items") > 0).select("__text", "runs", "items")
+        more = one if more is None else more.union(one)
+    return _both(_pass(keyed, first, ["doc_id", "__text"]), more)
+
+
+def _both(rows: DataFrame, more: DataFrame) -> DataFrame:
+    """Every row of the first block's pass with the hits of the other blocks, found by the hash of its text.
+
+    Rows of equal text have equal hits, so the sets below hold one entry a block, however often a text is repeated."""
+    more = more.groupBy("__text").agg(F.collect_set("runs").alias("r"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("i"))
+    merged = rows.join(more, "__text", "left").withColumn("r", F.concat(F.array("runs"), F.coalesce("r", F.array().cast("array<array<bigint>>"))))
     spans = F.array_sort(F.flatten(F.transform("r", lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) / 2 - 1, F.lit(0)).cast("int")), lambda i: F.when(F.size(x) > 0, F.named_struct(F.lit("a"), F.get(x, 2 * i), F.lit("b"), F.get(x, 2 * i + 1)))))))
     spans = F.filter(spans, lambda x: x.isNotNull())
     joined = F.aggregate(
@@ -199,7 +203,8 @@ def _both(a: DataFrame, b: DataFrame) -> DataFrame:
         F.array().cast("array<bigint>"),
         lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1) >= x["a"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.greatest(F.element_at(acc, -1), x["b"])))).otherwise(F.concat(acc, F.array(x["a"], x["b"]))),
     )
-    return merged.select(*keys, joined.alias("runs"), "items", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_")).select(*keys, "runs", "items")
+    items = F.array_sort(F.array_union("items", F.coalesce("i", F.array().cast("array<string>"))))
+    return merged.select("doc_id", "n_words", joined.alias("runs"), items.alias("items"))
 
 
 def _without(docs: DataFrame, index: Index) -> DataFrame:

@@ -213,3 +213,16 @@ def test_clean_judges_every_row_by_its_own_text(spark, folder, block):
     assert any(i is None for i, _ in want) and sum(want.values()) < len(docs)
     out = decontaminate.clean(t["documents"], t["benchmark"], block=block)
     assert out.columns == t["documents"].columns and Counter((r.doc_id, r.text) for r in out.collect()) == want
+
+
+def test_blocks_keep_rows_of_repeated_and_null_ids_apart(spark, folder):
+    docs, items = benchmark_case(7)
+    same = max(docs[:40], key=lambda x: len(WORD.findall(x[1])) if brute_hits([x], items)[0][5] else 0)[1]
+    n = len(WORD.findall(same))
+    docs = [(None if i % 3 else i % 5, t) for i, t in docs]
+    docs += [(i, t) for i in (None, 3) for t in (same, same, " ".join(["clean"] * n), " ".join(["other"] * n))]
+    d = folder(**tables(docs, items))
+    t = {n: spark.read.parquet(f"{d}/{n}.parquet") for n in ("documents", "benchmark")}
+    one, many = (Counter((r.doc_id, r.n_words, *map(tuple, (r.runs, r.items))) for r in decontaminate.hits(t["documents"], t["benchmark"], **o).collect()) for o in ({}, {"block": 30}))
+    assert one == many and sum(many.values()) == len(docs)
+    assert one[(None, n, (), ())] >= 2 and one[(3, n, (), ())] >= 2

@@ -1,10 +1,10 @@
 """N-gram Jaccard join (rare-first prefix filter with length, positional and suffix filters) and its components.
 
-Plan, over documents (doc_id, text):
+Plan, over documents (doc_id, text), stored once with a key of their own for every row (ids may be null or repeated):
 
 1. A count sketch of fixed size (2**sketch_bits counters) over all shingles gives the global rare-first order.
 2. Every text yields its set size, a 128-bit fingerprint of the set, and its prefix: the n - ceil(t n) + 1 rarest
-   shingles. Equal sets collapse into one class, named by its smallest doc_id (partial aggregates, so a group holding a
+   shingles. Equal sets collapse into one class, named by its smallest row key (partial aggregates, so a group holding a
    third of all rows collapses before the shuffle).
 3. Prefixes are exploded into posting lists. In each list, ordered by set size, every class is tied to the first class of
    its run; a run ends where the next size breaks the length filter, so a run holds every pair the list can give.
@@ -13,11 +13,11 @@ Plan, over documents (doc_id, text):
    suffix filters thin them, and overlaps are counted once per pair; pairs already connected are skipped.
    A family larger than a block first runs block by block; then only classes outside its largest component
    meet the other blocks, so a huge group of near copies costs one pass and not all its pairs.
-5. Components of links and classes give component_id.
+5. Components of links and classes give component_id, their smallest doc_id.
 
-Cases: null or wordless text has n_shingles 0 and stands alone; rows with a null doc_id get component_id null unless a
-copy has an id; repeated rows are copies of each other, and rows sharing a doc_id count as one document when links are
-followed; ties in the order are broken by the hash; an empty table gives an empty result; other columns are ignored.
+Cases: null or wordless text has n_shingles 0 and stands alone; rows with a null doc_id take part and get
+component_id null unless their component has an id; repeated rows are copies of each other; rows that share a doc_id but no
+words are different documents; ties in the order are broken by the hash; an empty table gives an empty result; other columns are ignored.
 Shingles are compared by 64-bit hash.
 """
 
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import cut, free_shuffles, small_batches, small_side
+from quarry.llm.common import cut, free_shuffles, small_batches, small_side, stored
 from quarry.llm.graph import components as connected
 from quarry.llm.textkernel import U, column, mix, shingle_sets
 
@@ -96,11 +96,11 @@ def _signatures(docs: DataFrame, sketch, width: int, percent: int) -> DataFrame:
             at = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             flat = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int32()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(pa.array(at), flat)],
-                ["doc_id", "n", "f1", "f2", "prefix"],
+                [b.column(0), b.column(2), pa.array(n, pa.int32()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(pa.array(at), flat)],
+                ["row", "doc_id", "n", "f1", "f2", "prefix"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n int, f1 long, f2 long, prefix array<long>")
+    return docs.select("row", "text", "doc_id").mapInArrow(run, "row long, doc_id long, n int, f1 long, f2 long, prefix array<long>")
 
 
 def _lists(sig: DataFrame, classes: DataFrame, percent: int, hot: int, bits: int = 18) -> DataFrame:
@@ -262,41 +262,55 @@ def _large(members: DataFrame, sketch, width: int, percent: int, block: int) ->
     return inside.union(bridge).union(crossed)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK, hot: int = HOT_LIST) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows, stored, with a key of their own: keys of rows that are computed again could differ."""
+    return stored(docs.withColumn("__row", F.monotonically_increasing_id()))
+
+
+def _components(docs: DataFrame, width: int, percent: int, block: int, hot: int) -> DataFrame:
+    """docs(row, doc_id, text) -> row, doc_id, n, label (the component's smallest row; null without words), component (its smallest doc_id)."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = spark.sparkContext.broadcast(_sketch(docs, width, SKETCH_BITS))
     sig = cut(_signatures(docs, sketch, width, percent))
-    named = sig.where("n > 0 and doc_id is not null")
-    classes = named.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    full = sig.where("n > 0")
+    classes = full.groupBy("f1", "f2").agg(F.min("row").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     family = connected(_lists(sig, classes, percent, hot))
     free_shuffles(spark)
     sizes = family.groupBy("label").agg(F.count("*").alias("size"))
     family = family.join(sizes, "label").select(F.col("label").alias("fam"), "size", F.col("node").alias("rep"))
-    # Texts of the classes that have a partner; a rep's rows with another text (a repeated id) come along and do no harm.
-    members = cut(docs.withColumnRenamed("doc_id", "rep").where("text is not null").join(small_side(family), "rep"))
+    # Texts of the classes that have a partner, one row each.
+    members = cut(docs.select(F.col("row").alias("rep"), "text").join(small_side(family), "rep"))
     links = _evaluate(members.where(F.col("size") <= block), ["fam"], sketch, width, percent)
     if not (big := members.where(F.col("size") > block)).isEmpty():
         links = links.union(_large(big, sketch, width, percent, block))
     linked = connected(links)
     free_shuffles(spark)
-    ids = named.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    ids = ids.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("label", "rep").alias("component"))
-    out = sig.select("doc_id", "n", F.when(F.col("n") > 0, F.col("f1")).alias("f1"), "f2").join(ids, ["f1", "f2"], "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    ids = full.groupBy("f1", "f2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"))
+    ids = cut(ids.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "least", F.coalesce("label", "rep").alias("label"), F.col("label").isNotNull().alias("tied")))
+    names = ids.where("tied").groupBy("label").agg(F.min("least").alias("component"))
+    ids = ids.join(names, "label", "left").select("f1", "f2", "label", F.when(F.col("tied"), F.col("component")).otherwise(F.col("least")).alias("component"))
+    return sig.select("row", "doc_id", "n", F.when(F.col("n") > 0, F.col("f1")).alias("f1"), "f2").join(ids, ["f1", "f2"], "left").drop("f1", "f2")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK, hot: int = HOT_LIST) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    docs = _keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).withColumnRenamed("__row", "row")
+    out = _components(docs, width, percent, block, hot)
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without all but one (the smallest doc_id) of each component; columns unchanged."""
-    found = near_duplicates(docs)
-    gone = found.where("component_id != doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(small_side(cut(gone)), F.col("doc_id") == F.col("__gone"), "left_anti")
-    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-        kept = named.unionByName(kept.where("doc_id is null"))
-    return kept
+    """The documents without all but one row (of the smallest doc_id; one without id only where none has an id) of each component.
+
+    Of rows without words, those that repeat a doc_id go. Columns unchanged."""
+    keyed = _keyed(docs)
+    found = _components(keyed.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), WIDTH, PERCENT, BLOCK, HOT_LIST)
+    # A group is a component, or the wordless rows of one doc_id; a wordless row without id is in none.
+    found = cut(found.select("row", "doc_id", F.col("label").isNull().alias("blank"), F.coalesce("label", "doc_id").alias("of")).where("of is not null"))
+    first = found.groupBy("blank", "of").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row"))["row"].alias("row"))
+    gone = found.join(first.select("row"), "row", "left_anti").select(F.col("row").alias("__gone"))
+    return keyed.join(small_side(cut(gone)), F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

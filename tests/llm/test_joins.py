@@ -226,3 +226,16 @@ def test_blocks_keep_rows_of_repeated_and_null_ids_apart(spark, folder):
     one, many = (Counter((r.doc_id, r.n_words, *map(tuple, (r.runs, r.items))) for r in decontaminate.hits(t["documents"], t["benchmark"], **o).collect()) for o in ({}, {"block": 30}))
     assert one == many and sum(many.values()) == len(docs)
     assert one[(None, n, (), ())] >= 2 and one[(3, n, (), ())] >= 2
+
+
+def test_rows_of_null_and_repeated_ids_take_part_in_deduplication(spark, documents):
+    a, b, c, e = (" ".join(f"{x}{k}" for k in range(30)) for x in "abce")
+    rows = [(None, a), (None, a), (None, a + " x"), (None, b), (4, b + " x"), (7, c), (7, "another text"), (7, " "), (7, ""), (9, " "), (9, e), (8, e + " x"), (None, None), (None, None)]
+    got = ngram_jaccard.near_duplicates(documents(rows))
+    want = [(None, 26, None)] * 2 + [(None, 27, None), (None, 26, 4), (4, 27, 4), (7, 26, 7), (7, 1, 7), (7, 0, 7), (7, 0, 7), (9, 0, 9), (9, 26, 8), (8, 27, 8), (None, 0, None), (None, 0, None)]
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+    kept = Counter((r.doc_id, r.text) for r in ngram_jaccard.keep_one(documents(rows)).collect())
+    alone = [t for i, t in kept.elements() if i is None and t and t.startswith("a0")]
+    blank = [t for i, t in kept.elements() if i == 7 and not t.strip()]
+    assert len(alone) == 1 and len(blank) == 1
+    assert kept == Counter([(None, alone[0]), (4, b + " x"), (7, c), (7, "another text"), (7, blank[0]), (9, " "), (8, e + " x"), (None, None), (None, None)])

@@ -11,7 +11,7 @@ allow a far smaller one.
 
 Cases: vectors that are null, zero, or hold null or non-finite components take no part; a query meets vectors of its own
 length only; rows with the query's own vec_id are no candidates; a null vec_id takes no part; repeated rows are
-candidates each, of which one is kept; equal distances go to the smaller vec_id; an empty table gives an empty result; extra columns are ignored.
+candidates each, of which the nearest is kept and counts once; equal distances go to the smaller vec_id; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,10 +40,11 @@ class Forest:
         weights = 1 << np.arange(self.bits - 1, -1, -1, dtype=np.int64)
         return sides.reshape(len(sides), self.trees, self.bits) @ weights
 
-    def candidates(self, q: np.ndarray, want: int):
-        """For each query the indices of at least `want` rows (or all)."""
+    def candidates(self, q: np.ndarray, want: int, code: np.ndarray | None = None):
+        """For each query the indices of at least `want` rows (or all); with code (a number per row), of rows of `want` codes."""
         n = len(self.x)
         want = min(want, n)
+        count = np.count_nonzero if code is None else lambda seen: np.count_nonzero(np.bincount(code[seen]))
         codes = self._pack(q @ self.planes > self.cuts)
         # Bucket borders of every query in every tree at every prefix length, by binary search in the sorted strings.
         lo = np.empty((self.bits + 1, len(q), self.trees), np.int64)
@@ -62,7 +63,7 @@ class Forest:
                 seen = np.zeros(n, bool)
                 for t in range(self.trees):
                     seen[self.order[lo[level, i, t] : hi[level, i, t], t]] = True
-                if level == 0 or np.count_nonzero(seen) >= want:
+                if level == 0 or count(seen) >= want:
                     break
                 level -= 1
             yield np.flatnonzero(seen)
@@ -72,13 +73,20 @@ def nearest_in(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray,
     """(query index, row index, distance): each query's k nearest rows among its candidates in this shard."""
     forest = Forest(x, **options)
     norms = np.einsum("ij,ij->i", x, x)
-    for i, c in enumerate(forest.candidates(q, max(least, int(np.ceil(share * len(x))) + 1))):
+    names, code = np.unique(ids, return_inverse=True)
+    repeated = len(names) < len(ids)
+    for i, c in enumerate(forest.candidates(q, max(least, int(np.ceil(share * len(names))) + 1), code if repeated else None)):
         c = c[ids[c] != qids[i]]
         if not len(c):
             continue
         rough = norms[c] - 2 * (x[c] @ q[i])
-        if len(c) > k:
-            edge = np.partition(rough, k - 1)[k - 1]
+        best = rough
+        if repeated:  # the nearest row of each id
+            best = np.full(len(names), np.inf)
+            np.minimum.at(best, code[c], rough)
+            best = best[np.isfinite(best)]
+        if len(best) > k:
+            edge = np.partition(best, k - 1)[k - 1]
             c = c[rough <= edge + 1e-9 * (abs(edge) + norms[c].max() + q[i] @ q[i])]
         d = np.sqrt(((x[c] - q[i]) ** 2).sum(1))
         o = np.lexsort((ids[c], d))

@@ -231,3 +231,16 @@ def test_pipeline_stages(spark, tiny, tmp_path):
     clean = spark.read.parquet(str(tmp_path / "2"))
     assert not decontaminate.hits(clean, spark.read.parquet(f"{tiny}/benchmark.parquet")).where("size(items) > 0").count()
     assert p.run(spark, tiny).count() == rows.count()
+
+
+@pytest.mark.parametrize("copies", [40, 3000])
+def test_a_repeated_near_id_leaves_room_for_the_others(copies):
+    r = np.random.default_rng(4)
+    q = r.standard_normal((1, 8))
+    near = q + 0.001 * r.standard_normal((copies, 8))
+    x = np.concatenate([near, r.standard_normal((60, 8))])
+    ids = np.array([7] * copies + list(range(100, 160)))
+    got = [(int(ids[j]), d) for _, j, d in ann_forest.nearest_in(x, ids, q, np.array([-1]), 10, 1.0, 10)]
+    far = np.sqrt(((x - q[0]) ** 2).sum(1))
+    want = sorted({int(i): far[ids == i].min() for i in ids}.items(), key=lambda p: p[1])[:10]
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([d for _, d in got], [d for _, d in want])

@@ -5,6 +5,8 @@ The driver only counts a level; frontiers, visited sets and edges stay distribut
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,18 +14,26 @@ from pyspark.sql.window import Window
 from quarry.functions.urls import origin
 from quarry.operators.shared import cut
 
+_MERGE = 32  # levels after which the visited set is written as one table
+
+
+def depths(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, bound: int | None = None) -> DataFrame:
+    """(url, depth) of every node(url): links from the nearest seed, -1 where none leads. edges(src, dst).
 
-def depths(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, bound: int = 1000) -> DataFrame:
-    """(url, depth) of every node(url): links from the nearest seed, -1 where none leads. edges(src, dst)."""
+    Ends at the first empty level; a bound that is reached before it is an error."""
     edges = edges.select("src", "dst").join(nodes.select(F.col("url").alias("dst")), "dst", "left_semi").distinct()
     seen = cut(seeds.select("url").distinct().join(nodes.select("url"), "url", "left_semi").withColumn("depth", F.lit(0)))
     level = seen
-    for depth in range(1, bound + 1):
+    for depth in count(1):
         level = edges.join(level.select(F.col("url").alias("src")), "src").select(F.col("dst").alias("url")).distinct()
         level = cut(level.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)))
         if level.isEmpty():
             break
+        if bound is not None and depth > bound:
+            raise ValueError(f"pages lie more than {bound} links from the seeds")
         seen = seen.union(level)
+        if depth % _MERGE == 0:  # else the plan grows by every level
+            seen = cut(seen.coalesce(max(1, seen.sparkSession.sparkContext.defaultParallelism)))
     return nodes.select("url").join(seen, "url", "left").select("url", F.coalesce("depth", F.lit(-1)).alias("depth"))
 
 

@@ -116,3 +116,22 @@ def test_query_equals_sql(spark, name):
     want = con.execute(catalogue.oracle_sql()[name]).df()[list(got.columns)]
     clean = lambda d: sorted(str([None if x is None or x != x else x if isinstance(x, str) else float(x) for x in r]) for r in d.itertuples(index=False))
     assert clean(got) == clean(want)
+
+
+def test_depths_end_at_an_empty_level_or_fail(spark):
+    chain = spark.createDataFrame([(f"p{i}", f"p{i + 1}") for i in range(6)], "src string, dst string")
+    nodes = spark.createDataFrame([(f"p{i}",) for i in range(7)] + [("orphan",)], "url string")
+    seed = spark.createDataFrame([("p0",)], "url string")
+    want = {f"p{i}": i for i in range(7)} | {"orphan": -1}
+    assert {r.url: r.depth for r in crawl.depths(nodes, chain, seed, bound=6).collect()} == want
+    with pytest.raises(ValueError, match="more than 3 links"):
+        crawl.depths(nodes, chain, seed, bound=3)
+
+
+def test_depths_have_no_bound_of_their_own(spark, monkeypatch):
+    assert crawl.depths.__defaults__ == (None,)
+    monkeypatch.setattr(crawl, "_MERGE", 2)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(9)], "src long, dst long")
+    nodes = spark.range(10).withColumnRenamed("id", "url")
+    seed = spark.createDataFrame([(0,)], "url long")
+    assert {r.url: r.depth for r in crawl.depths(nodes, chain, seed).collect()} == {i: i for i in range(10)}

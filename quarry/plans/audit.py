@@ -95,7 +95,7 @@ def run(captures: DataFrame, base_url: str, options: dict | None = None, edges:
         found, checks = redirects.audit(contracts, routes, unmatched)
         parts.append(found)
     findings = cut(post.finish(reduce(DataFrame.union, parts), options))
-    names = sorted(r.agent for r in captures.select("agent").distinct().limit(100).collect())
+    names = sorted(r.agent for r in captures.select("agent").distinct().collect())
     return Audit(routes, agents, edges, findings, checks, {"base_url": base_url, "options": options, "agents": names, "truncated": truncated})
 
 

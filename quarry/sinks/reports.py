@@ -1,4 +1,4 @@
-"""Report formats. Tables of any size are written by Spark; documents for readers are made from bounded results."""
+"""Report formats. JSON, CSV, SARIF and JUnit hold every row, fetched partition by partition and joined to one text in the driver; documents for readers are made from bounded results."""
 
 from __future__ import annotations
 
@@ -52,12 +52,12 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
     return findings.groupBy("code").agg(F.get(names, F.min(rank())).alias("level"), F.count("*").alias("results"))
 
 
-def sarif(findings: DataFrame, limit: int = 5000) -> str:
+def sarif(findings: DataFrame) -> str:
     rules = [{"id": r.code, "name": r.code.replace("-", " ").title().replace(" ", ""), "defaultConfiguration": {"level": r.level}} for r in sarif_rules(findings).orderBy("code").collect()]
     at = {r["id"]: k for k, r in enumerate(rules)}
     results = [
         {"ruleId": f.code, "ruleIndex": at[f.code], "level": TITLES[f.severity], "message": {"text": f.message}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": f.url}}}] if f.url else [], "properties": dict(f.evidence or {})}
-        for f in findings.orderBy("code", "url", "message").limit(limit).collect()
+        for f in findings.orderBy("code", "url", "message").toLocalIterator()
     ]
     return stable_json({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": "quarry", "rules": rules}}, "results": results}]})
 
@@ -83,14 +83,13 @@ def xml_text(text) -> str:
     return html.escape(text, quote=True)
 
 
-def junit(findings: DataFrame, limit: int = 5000) -> str:
+def junit(findings: DataFrame) -> str:
     """One case per finding; errors and warnings fail; an empty report is one passing case."""
-    rows = ordered(findings).limit(limit).collect()
-    cases = []
-    for r in rows:
+    cases, failures = [], 0
+    for r in ordered(findings).toLocalIterator():
+        failures += r.severity != "info"
         body = f'<failure type="{r.severity}" message="{xml_text(r.message)}"/>' if r.severity != "info" else ""
         cases.append(f'<testcase classname="{xml_text(r.code)}" name="{xml_text(r.url)}">{body}</testcase>')
-    failures = sum(r.severity != "info" for r in rows)
     cases = cases or ['<testcase classname="audit" name="no findings"></testcase>']
     return f'<?xml version="1.0" encoding="UTF-8"?>\n<testsuites><testsuite name="audit" tests="{len(cases)}" failures="{failures}">{"".join(cases)}</testsuite></testsuites>\n'
 
@@ -158,9 +157,9 @@ def _change_message(c) -> str:
     return c.kind if value is None else f"{c.kind}: {value}"
 
 
-def diff_json(counts: dict, changes: DataFrame, limit: int = 100_000) -> str:
+def diff_json(counts: dict, changes: DataFrame) -> str:
     """The counts of two runs' changes and the changes, absent values left out."""
-    rows = [c.asDict() for c in diff_changes(changes).limit(limit).collect()]
+    rows = [c.asDict() for c in diff_changes(changes).toLocalIterator()]
     return stable_json({"summary": counts, "changes": rows})
 
 
@@ -178,10 +177,10 @@ def diff_terminal(counts: dict, changes: DataFrame, limit: int = 1000) -> str:
 
 def render(kind: str, summary: dict, routes: DataFrame, edges: DataFrame, findings: DataFrame) -> str:
     if kind == "json":
-        rows = [r.asDict(recursive=True) for r in ordered(findings).drop("seq").limit(100_000).collect()]
+        rows = [r.asDict(recursive=True) for r in ordered(findings).drop("seq").toLocalIterator()]
         return stable_json({"schemaVersion": "5", "summary": summary, "findings": rows})
     if kind == "csv":
-        return "severity,code,url,message,related_urls,evidence\n" + "".join(r.line + "\n" for r in csv_line(csv_rows(ordered(findings))).limit(100_000).collect())
+        return "severity,code,url,message,related_urls,evidence\n" + "".join(r.line + "\n" for r in csv_line(csv_rows(ordered(findings))).toLocalIterator())
     one = {"sarif": lambda: sarif(findings), "junit": lambda: junit(findings), "markdown": lambda: markdown(summary, findings), "terminal": lambda: terminal(summary, findings), "html": lambda: page(summary, routes, edges, findings)}
     return one[kind]()
 

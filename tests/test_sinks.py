@@ -40,3 +40,16 @@ def test_comparison_sinks(spark):
     assert [c["code"] for c in got["changes"]] == ["route-added", "route-removed", "title-changed"] and got["summary"] == counts and "after" not in got["changes"][1]
     none = changes.limit(0)
     assert "Nothing changed." in reports.diff_terminal(compare.summarize(none).first().asDict(), none)
+
+
+def test_machine_readable_reports_hold_every_row(spark):
+    n = 100_001
+    f = spark.range(n).selectExpr("concat('https://e.t/', id) AS url", "'missing-title' AS code", "IF(id = 0, 'info', 'error') AS severity", "'m' AS message", "CAST(array() AS array<string>) AS related", "map('a', '1') AS evidence", "CAST(NULL AS struct<family:int,ord:long,place:long>) AS seq")
+    render = lambda kind: reports.render(kind, {}, None, None, f)
+    assert len({x["url"] for x in json.loads(render("json"))["findings"]}) == n
+    assert len(set(render("csv").splitlines()[1:])) == n
+    assert len(json.loads(render("sarif"))["runs"][0]["results"]) == n
+    text = render("junit")
+    assert f'tests="{n}" failures="{n - 1}"' in text and text.count("<testcase ") == n
+    changes = f.selectExpr("url", "'added' AS kind", "code", "severity", "CAST(NULL AS string) AS before", "'1' AS after")
+    assert len(json.loads(reports.diff_json({}, changes))["changes"]) == n

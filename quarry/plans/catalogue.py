@@ -63,6 +63,12 @@ def resolved_links(spark, d):
     return s.where("l.href rlike '^/[a-z]+$'").groupBy(F.col("l.resolved_url").alias("url")).agg(F.count("*").alias("links"), F.count_distinct("page_id").alias("pages"))
 
 
+def resolved_links_all(spark, d):
+    """Every link of every page, of whatever form; SQL cannot resolve them, so it has no oracle."""
+    s = _pages(spark, d).select("page_id", F.explode("signals.links").alias("l"))
+    return s.groupBy(F.col("l.resolved_url").alias("url")).agg(F.count("*").alias("links"), F.count_distinct("page_id").alias("pages"))
+
+
 def duplicate_titles(spark, d):
     t = F.lower(text.collapse(F.col("signals.titles")[0]["value"]))
     g = _pages(spark, d).select("page_id", t.alias("title")).where("title != ''").groupBy("title")
@@ -106,6 +112,12 @@ def url_normalization(spark, d):
     return p.select("page_id", urls.normalize_url(messy, F.col("url")).alias("url"), urls.normalize_url(messy, F.col("url"), "drop").alias("bare"))
 
 
+def url_normalization_all(spark, d):
+    """Every page's address, whatever its form; no oracle."""
+    p = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url")
+    return p.select("page_id", urls.normalize_url(F.col("url"), F.col("url")).alias("url"), urls.normalize_url(F.col("url"), F.col("url"), "drop").alias("bare"))
+
+
 def redaction(spark, d):
     p = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.concat(F.lit("https://user:pw@host.test/p/"), F.col("page_id"), F.lit("?token=abc&page="), F.col("page_id")).alias("url"))
     return p.select("page_id", urls.redact_url(F.col("url")).alias("url"), urls.redact_error_text(F.concat(F.lit("failed: "), F.col("url"), F.lit(", key s3cret.")), ("s3cret",)).alias("message"))
@@ -280,7 +292,7 @@ _NAMES = """page_signals page_links resolved_links duplicate_titles content_fing
 url_variants url_normalization redaction page_findings agent_findings graph_findings group_findings time_findings soft_404_findings
 indexability findings_ordered finding_counts scoped_severity summary sarif_rules csv_rows incomplete_reasons crawl_depth bounded_crawl
 robots_decision candidate_merge redirect_contracts contract_outcomes redirect_patterns report_diff finding_diff changed_only changed_counts
-events_first_wins""".split()
+events_first_wins resolved_links_all url_normalization_all""".split()
 
 
 def queries():

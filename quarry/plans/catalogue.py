@@ -1,7 +1,7 @@
 """Named queries of the audit engine and their DuckDB equivalents.
 
-Each callable takes (spark, sf_dir). Extraction and text queries read real pages and documents; the others read the synthetic
-views of `derived`. The SQL restates the rules directly, with no code shared beyond the views' text.
+Each callable takes (spark, sf_dir). Extraction, text and captured_ queries read real pages and documents; the others read the
+synthetic views of `derived`. The SQL restates the rules directly, with no code shared beyond the views' text.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text, urls
 from quarry.operators import candidates, crawl, near, robots
 from quarry.operators.shared import cut
-from quarry.plans import compare, contracts, derived, post, rules
+from quarry.plans import audit, compare, contracts, derived, post, rules
 from quarry.sinks import reports
 from quarry.sources import captures
 
@@ -193,6 +193,27 @@ def incomplete_reasons(spark, d):
     return reports.incomplete(derived.routes(spark, d))
 
 
+# --- rules over the real pages; statuses, redirects, sitemaps and times, which pages do not hold, stay in the synthetic audit ---
+
+
+def _captured(spark, d) -> DataFrame:
+    """The audit base of the whole pages table, as `audit.from_pages` captures it; these rules read no depths, so no links."""
+    shots = cut(audit.from_pages(spark.read.parquet(f"{d}/pages.parquet")))
+    return audit.routes_of(shots, spark.createDataFrame([], "src string, dst string"), [], OPTIONS)
+
+
+def captured_page_findings(spark, d):
+    return _keys(rules.page_rules(_captured(spark, d)))
+
+
+def captured_group_findings(spark, d):
+    return rules.group_rules(_captured(spark, d)).select("url", "code", "severity", (F.size("related") + 1).cast("long").alias("routes"))
+
+
+def captured_soft_404_findings(spark, d):
+    return rules.soft_404_rules(_captured(spark, d)).select("url", "code", "severity", F.get("related", F.lit(0)).alias("reference"))
+
+
 # --- graph, robots, candidates, contracts, comparison -----------------------------------------------------------------
 
 
@@ -292,7 +313,8 @@ _NAMES = """page_signals page_links resolved_links duplicate_titles content_fing
 url_variants url_normalization redaction page_findings agent_findings graph_findings group_findings time_findings soft_404_findings
 indexability findings_ordered finding_counts scoped_severity summary sarif_rules csv_rows incomplete_reasons crawl_depth bounded_crawl
 robots_decision candidate_merge redirect_contracts contract_outcomes redirect_patterns report_diff finding_diff changed_only changed_counts
-events_first_wins resolved_links_all url_normalization_all""".split()
+events_first_wins resolved_links_all url_normalization_all
+captured_page_findings captured_group_findings captured_soft_404_findings""".split()
 
 
 def queries():

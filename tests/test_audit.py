@@ -150,3 +150,22 @@ def test_links_and_addresses_of_every_form_are_counted(spark, tmp_path):
     assert got == want
     rows = {r.page_id: (r.url, r.bare) for r in catalogue.queries()["url_normalization_all"](spark, str(tmp_path)).collect()}
     assert rows == {1: ("https://my-host.test:8080/d/e?utm_source=feed", "https://my-host.test:8080/d/e"), 2: ("https://b.test/d/",) * 2, 3: ("https://b.test/caf%C3%A9?a_b=1", "https://b.test/caf%C3%A9")}
+
+
+def test_rules_read_the_html_of_pages(spark, tmp_path):
+    words = " ".join(f"word{k}" for k in range(40))
+    page = lambda head, body: f"<html lang='en'><head>{head}</head><body>{body}</body></html>"
+    pages = [
+        (1, "https://a.test/1", page("", f"<h1>One</h1><p>{words}</p>")),
+        (2, "https://a.test/2", page("<title>Same title</title>", "<h1>A</h1><h1>B</h1><p>first text of its own</p>")),
+        (3, "https://a.test/3", page("<title>Same title</title><meta name='robots' content='noindex'>", "<h1>C</h1>")),
+        (4, "https://a.test/4", page("<title>Same title</title>", "<h1>D</h1><p>second text of its own</p>")),
+        (5, "https://a.test/5", page("<title>Page not found</title>", "<h1>Page not found</h1>")),
+    ]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    q = catalogue.queries()
+    got = {(r.url[-1], r.code) for r in q["captured_page_findings"](spark, str(tmp_path)).collect()}
+    assert {u for u, c in got if c == "missing-title"} == {"1"} and {u for u, c in got if c == "multiple-h1"} == {"2"} and ("3", "noindex") in got
+    groups = {(r.code, r.routes) for r in q["captured_group_findings"](spark, str(tmp_path)).collect()}
+    assert any("duplicate-title" in c and n == 2 for c, n in groups), groups
+    assert "https://a.test/5" in {r.url for r in q["captured_soft_404_findings"](spark, str(tmp_path)).collect()}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,14 +19,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; set one only where the session names none (tests)."""
+    """Use the cluster's shared checkpoint folder. Only in local mode (tests) a temporary folder takes its place; a cluster without one is an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quarry-ckpt-"))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path below the checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid4().hex}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of ours that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -33,8 +49,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """The rows written once as Parquet in the shared folder and read again: smaller than a checkpoint, and columns stay apart."""
-    ensure_checkpoint_dir(df.sparkSession)
-    folder = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid4().hex}"
+    folder = shared_folder(df.sparkSession, "stored")
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
@@ -49,10 +64,31 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def renamed(rows: DataFrame, column: str, table: DataFrame, into: str, limit: int = BROADCAST_ROWS, hot: int = 100_000) -> DataFrame:
+    """rows with `into` from table(key, value) (one row a key, lineage cut) where `column` is the key; null where none is.
+
+    However many rows share a value of `column`, no task gets them all: a table counted small is broadcast; else the values
+    that more than max(hot, a ten-thousandth of the rows) share are at most 10,000, go by broadcast, and the others by a shuffle."""
+    table = table.toDF("__key", into)
+    key = F.col(column) == F.col("__key")
+    if table.limit(limit + 1).count() <= limit:
+        return rows.join(F.broadcast(table), key, "left").drop("__key")
+    counts = rows.groupBy(F.col(column).alias("__hot")).count()
+    total = rows.count()
+    heavy = cut(counts.where((F.col("count") > max(hot, total // 10_000)) & F.col("__hot").isNotNull()).select("__hot"))
+    some = F.broadcast(cut(table.join(F.broadcast(heavy), F.col("__key") == F.col("__hot")).select("__key", into)))
+    of_heavy = rows.join(some, key).drop("__key")
+    others = rows.join(F.broadcast(heavy), F.col(column) == F.col("__hot"), "left_anti")
+    return of_heavy.unionByName(others.join(table, key, "left").drop("__key"))
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, parts)
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches by bytes where Spark knows the setting, and few rows, as texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    try:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    except Exception:  # noqa: BLE001  older Spark rejects the key only if it is static
-        return
+    """Arrow batches of few rows and bytes, as texts can be long, unless the session sets its own. Results do not depend on them."""
+    for key, usual, value in (("maxRecordsPerBatch", ("10000", None), "1000"), ("maxBytesPerBatch", ("-1", None), str(16 << 20))):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, None) in usual:
+            spark.conf.set(key, value)

@@ -3,20 +3,22 @@
 A window is 10 consecutive words of an item (a shorter item is one window). Its shingles (5 words, or the whole of a
 shorter window) are ordered by rarity over all documents; as containment must be full, the necessary prefix is the one
 rarest shingle. Documents probe the prefix shingles; a place passes the positional and length bounds if the whole window fits
-inside the document around it, and is verified word by word (64-bit word hashes). Rarities are counted over all rows.
+inside the document around it, its word hashes agree, and in the end its words themselves. Rarities are counted over all rows.
 
-The benchmark's index is broadcast in blocks of items whose windows stay within `block` each, so a large benchmark is
-several passes over the documents and never an unbounded broadcast. The blocks' results of a row meet by the hash of its text.
+The benchmark's index is broadcast in blocks of items whose windows stay within `block` each (a longer item is dealt over several
+blocks), so a large benchmark is several passes over the documents and never an unbounded broadcast. The blocks' results of a row meet by
+the hash of its text.
 
 Cases: null texts have no words; items without words give no window; equal windows belong to all their items; repeated
-rows each give a row; an empty benchmark leaves every document clean; empty documents give an empty result; other
-columns are ignored by `hits` and kept by `clean`. A null item_id takes no part.
+rows each give a row; an empty benchmark leaves every document clean; empty documents give an empty result; texts of any length are read
+whole, a few megabytes or one text at a time; other columns are ignored by `hits` and kept by `clean`. A null item_id takes no part.
 """
 
 from __future__ import annotations
 
 import hashlib
-from itertools import chain
+import re
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import small_batches
-from quarry.llm.textkernel import PUNCT, U, column, grams, pieces, words
+from quarry.llm.textkernel import PUNCT, U, column, grams, pieces, plain, spans, words
 
 WINDOW, SHINGLE, BLOCK = 10, 5, 400_000
 _FILTER = 20  # bits of the table that is asked before the sorted keys
@@ -34,15 +36,16 @@ class Index:
     """Prefix shingles of a block of items."""
 
     def __init__(self, ids: list[str], texts: list[str | None], window: int, shingle: int):
-        h, rows = words(*column(pa.array(texts, pa.string())), PUNCT)
+        data, offsets = column(pa.array(texts, pa.string()))
+        h, rows, starts, ends = spans(data, offsets, PUNCT)
         found: dict[bytes, tuple[np.ndarray, list[str]]] = {}
         for i, name in enumerate(ids):
-            w = h[rows[i] : rows[i + 1]]
-            for a in range(max(1, len(w) - window + 1) if len(w) else 0):
-                v = w[a : a + window]
-                found.setdefault(v.tobytes(), (v, []))[1].append(name)
+            lo, hi = int(rows[i]), int(rows[i + 1])
+            for a in range(lo, max(lo + 1, hi - window + 1) if hi > lo else lo):
+                b = min(a + window, hi)
+                found.setdefault(plain(data, starts[a:b], ends[a:b]), (h[a:b], []))[1].append(name)
         self.items = [sorted(set(names)) for _, names in found.values()]
-        self.window = [v for v, _ in found.values()]
+        self.window, self.said = [v for v, _ in found.values()], list(found)
         self.parts = []  # shingles of each window, with their places
         for v in self.window:
             k = min(shingle, len(v))
@@ -68,8 +71,9 @@ class Index:
             table[(key >> U(64 - _FILTER)).astype(np.int64)] = True
             self.probe[k] = table, key, place[o], which[o]
 
-    def scan(self, h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, dict[int, set[int]]]:
-        """Hit flags of the words, and the windows of each row that occur in it."""
+    def scan(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, set[int]]]:
+        """Word offsets of the rows, hit flags of the words, and the windows of each row that occur in it."""
+        h, rows, starts, ends = spans(data, offsets, PUNCT)
         hit = np.zeros(len(h), bool)
         per: dict[int, set[int]] = {}
         for k, (table, key, place, which) in self.probe.items():
@@ -84,10 +88,13 @@ class Index:
             for s, r, a, b in zip(start.tolist(), row.tolist(), lo.tolist(), hi.tolist(), strict=True):
                 for x in range(a, b):
                     first, v = s - int(place[x]), self.window[which[x]]
-                    if first >= rows[r] and first + len(v) <= rows[r + 1] and np.array_equal(h[first : first + len(v)], v):
-                        hit[first : first + len(v)] = True
+                    last = first + len(v)
+                    if first < rows[r] or last > rows[r + 1] or not np.array_equal(h[first:last], v):
+                        continue
+                    if plain(data, starts[first:last], ends[first:last]) == self.said[which[x]]:
+                        hit[first:last] = True
                         per.setdefault(r, set()).add(int(which[x]))
-        return hit, per
+        return rows, hit, per
 
 
 def _count(docs: DataFrame, vocabulary: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
@@ -121,16 +128,41 @@ def _count(docs: DataFrame, vocabulary: dict[int, np.ndarray]) -> dict[int, np.n
     return out
 
 
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def _parts(text: str, window: int, block: int):
+    """An item's text in parts of at most `block` windows that together have just its windows."""
+    if len(text) // 2 + 1 <= block:
+        yield text
+        return
+    kept: list[str] = []
+    for m in _WORD.finditer(text):
+        kept.append(m[0])
+        if len(kept) == block + window - 1:
+            yield " ".join(kept)
+            kept = kept[len(kept) - window + 1 :]
+    # Fewer words than a window are a part only if the item has no others.
+    if len(kept) >= window or (kept and not _more(text, len(kept))):
+        yield " ".join(kept)
+
+
+def _more(text: str, n: int) -> bool:
+    """Whether the text has more than n words."""
+    return sum(1 for _ in islice(_WORD.finditer(text), n + 1)) > n
+
+
 def _blocks(benchmark: DataFrame, window: int, shingle: int, block: int):
     """Items in blocks of bounded windows, read through an iterator that holds one partition at a time."""
     ids, texts, size = [], [], 0
     for r in benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text").toLocalIterator():
-        ids.append(r.item_id)
-        texts.append(r.text)
-        size += len(r.text) // 2 + 1
-        if size >= block:
-            yield Index(ids, texts, window, shingle)
-            ids, texts, size = [], [], 0
+        for part in _parts(r.text, window, block):
+            ids.append(r.item_id)
+            texts.append(part)
+            size += len(part) // 2 + 1
+            if size >= block:
+                yield Index(ids, texts, window, shingle)
+                ids, texts, size = [], [], 0
     if ids:
         yield Index(ids, texts, window, shingle)
 
@@ -147,9 +179,9 @@ def _pass(docs: DataFrame, index: Index | None, carry: list[str]) -> DataFrame:
             data, offsets = column(b.column(len(carry)))
             for lo, hi in pieces(offsets):
                 part = offsets[lo : hi + 1]
-                h, rows = words(data[part[0] : part[-1]], part - part[0], PUNCT)
+                text = data[part[0] : part[-1]], part - part[0]
+                rows, hit, per = shared.value.scan(*text) if shared.value is not None else (words(*text, PUNCT)[1], None, {})
                 n_words += np.diff(rows).tolist()
-                hit, per = shared.value.scan(h, rows) if shared.value is not None else (None, {})
                 for r in range(hi - lo):
                     if r not in per:
                         runs.append([])
@@ -218,7 +250,7 @@ def _without(docs: DataFrame, index: Index) -> DataFrame:
             data, offsets = column(b.column(at))
             for lo, hi in pieces(offsets):
                 part = offsets[lo : hi + 1]
-                _, per = shared.value.scan(*words(data[part[0] : part[-1]], part - part[0], PUNCT))
+                per = shared.value.scan(data[part[0] : part[-1]], part - part[0])[2]
                 ok += [r not in per for r in range(hi - lo)]
             yield b.filter(pa.array(ok, pa.bool_()))
 
@@ -242,8 +274,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
         more = one if more is None else more.union(one)
     if more is None:
         return out
-    dirty = small_side(cut(more.distinct()).withColumnRenamed("__text", "__dirty"))
-    return out.join(dirty, F.sha2("text", 256) == F.col("__dirty"), "left_anti")
+    dirty = cut(more.distinct())
+    rows = out.select(F.struct(*out.columns).alias("d"), F.sha2("text", 256).alias("__text"))
+    return rows.join(small_side(dirty), "__text", "left_anti").select("d.*")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -5,37 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut
+from quarry.llm.common import BROADCAST_ROWS, cut, renamed
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, limit: int = BROADCAST_ROWS, hot: int = 100_000) -> DataFrame:
     """(node, label) for every node of edges (a, b), label the smallest node of its component.
 
     In each round every vertex hooks onto its smallest neighbour, parents are followed to their roots, and edges are
-    renamed by the roots, so the number of vertices at least halves. Aggregates are partial before the shuffle; joins on a
-    hub's key have one row on the other side, which adaptive execution may split.
+    renamed by the roots, so the number of vertices at least halves. Aggregates are partial before the shuffle; renaming
+    splits the rows of a hub or of a large component (see `renamed`), so no task gets all of them.
     """
+    name = lambda rows, column, table, into: renamed(rows, column, table, into, limit, hot)
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a != b").distinct()
     edges = cut(edges)
     labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("label"))
     while not edges.isEmpty():
         both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
-        parent = both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("p"))
-        while True:  # pointer jumping: each turn follows four parents at once, so a chain of n takes log4(n) turns
-            two = _jump(parent).select("a", F.col("q").alias("p"))
-            four = cut(_jump(two))
-            parent = four.select("a", F.col("q").alias("p"))
-            if four.where("p != q").isEmpty():
+        root = cut(both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("p")))
+        while True:  # pointer jumping: a turn doubles the steps to an ancestor, so a chain of n takes log2(n) turns
+            jump = cut(name(root, "p", root, "q"))
+            root = jump.select("a", F.col("q").alias("p"))
+            if jump.where("p != q").isEmpty():
                 break
-        root = parent.select("a", F.col("p").alias("q"))
-        # Labels are only renamed at the end: one join a round, no job of its own.
-        labels = labels.join(root.withColumnRenamed("a", "label"), "label", "left").select("node", F.coalesce("q", "label").alias("label"))
-        left = edges.join(root, "a").select(F.col("q").alias("x"), "b")
-        right = left.join(root.select(F.col("a").alias("b"), F.col("q").alias("y")), "b")
-        edges = cut(right.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    return cut(labels)
-
-
-def _jump(parent: DataFrame) -> DataFrame:
-    """(a, p, q) with q the parent of p."""
-    return parent.join(parent.select(F.col("a").alias("p"), F.col("p").alias("q")), "p").select("a", "p", "q")
+        labels = cut(name(labels, "label", root, "q").select("node", F.coalesce("q", "label").alias("label")))
+        ends = name(name(edges, "a", root, "x"), "b", root, "y")
+        edges = cut(ends.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    return labels

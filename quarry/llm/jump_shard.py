@@ -2,11 +2,13 @@
 
 The 64-bit generator is carried in decimals, as the session's integers do not wrap. The jump sequence for n + 1
 shards continues the one for n, so one fold gives both and a grown shard is the old one or the new one.
-Slots are gapless within a shard: rows are numbered inside small hash buckets of the shard and shifted by the
-buckets' running counts, so no task holds a whole shard.
+Slots are gapless within a shard: rows are ordered inside small parts of the shard (hash bucket of the key, then a range of the
+text's CRC-32) and shifted by the parts' running counts, so no task holds a whole shard, nor all rows of one key. Rows that agree in
+everything are one row with a count until the end, where the count is dealt out in chunks.
 
-Cases: a null key hashes as 0; a null text has no bytes (size 8, crc32 0); repeated rows share a shard and get
-slots of their own; an empty table gives an empty result; other columns are kept by `assign`, ignored by the query.
+Cases: a null key hashes as 0, a text key by its 64-bit xxHash; a null text has no bytes (size 8, crc32 0); repeated rows share a
+shard and get slots of their own, in whatever order; an empty table gives an empty result; `assign` keeps all other columns (one that
+already has the new column's name is kept as <name>_input), the query ignores them. Texts are only measured and hashed, whole.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SHARDS, BUCKETS = 24, 256
+SHARDS, BUCKETS, PARTS, CHUNK = 24, 128, 64, 65_536
 #: Fixed values of the published algorithm: multiplier of the generator, bits dropped, numerator.
 MULTIPLIER, SHIFT, SPAN = 2862933555777941757, 1 << 33, float(1 << 31)
 _WRAP = 1 << 64
@@ -59,30 +61,42 @@ def bucket(key: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.floor(_step(_seed(key)) / _dec(1 << 20)), _dec(buckets)).cast("int")
 
 
+def hashable(docs: DataFrame, key_col: str) -> Column:
+    """The key as a long: text by its hash."""
+    return F.xxhash64(key_col) if docs.schema[key_col].dataType.typeName() in ("string", "binary") else F.col(key_col)
+
+
 def assign(docs: DataFrame, shards: int = SHARDS, key_col: str = "doc_id", into: str = "shard") -> DataFrame:
     """The rows with their shard in column `into`; nothing is shuffled."""
-    return docs.withColumn(into, jump(F.col(key_col), shards)["shard"])
+    if into in docs.columns:
+        docs = docs.withColumnRenamed(into, f"{into}_input")
+        key_col = f"{into}_input" if key_col == into else key_col
+    return docs.withColumn(into, jump(hashable(docs, key_col), shards)["shard"])
 
 
-def place(docs: DataFrame, shards: int = SHARDS, buckets: int = BUCKETS) -> DataFrame:
+def place(docs: DataFrame, shards: int = SHARDS, buckets: int = BUCKETS, parts: int = PARTS, chunk: int = CHUNK) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of documents."""
-    keyed = docs.select("doc_id", jump(F.col("doc_id"), shards).alias("s"), bucket(F.col("doc_id"), buckets).alias("bucket"))
-    counts = keyed.groupBy(F.col("s.shard").alias("shard"), "bucket").count()
-    # At most shards * buckets rows, whatever the input.
-    run = Window.partitionBy("shard").orderBy("bucket")
-    before = F.broadcast(counts.select("shard", "bucket", (F.sum("count").over(run) - F.col("count")).alias("before")))
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text, key = F.coalesce(F.col("text"), F.lit("")), hashable(docs, "doc_id")
     rows = docs.select(
         "doc_id",
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        jump(F.col("doc_id"), shards).alias("s"),
-        bucket(F.col("doc_id"), buckets).alias("bucket"),
-    ).select("doc_id", "size", "text_crc32", F.col("s.shard").alias("shard"), F.col("s.grown").alias("grown_shard"), "bucket")
-    order = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
-    rows = rows.withColumn("nth", F.row_number().over(order) - 1).join(before, ["shard", "bucket"])
-    return rows.select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("nth")).cast("long").alias("slot"), "grown_shard"
+        jump(key, shards).alias("s"),
+        (bucket(key, buckets) * parts + F.floor(F.crc32(text.cast("binary")) / F.lit((1 << 32) // parts)).cast("int")).alias("part"),
+    ).select("doc_id", "size", "text_crc32", F.col("s.shard").alias("shard"), F.col("s.grown").alias("grown_shard"), "part")
+    same = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    # At most shards * buckets * parts rows, whatever the input.
+    run = Window.partitionBy("shard").orderBy("part")
+    counts = same.groupBy("shard", "part").agg(F.sum("n").alias("n"))
+    before = F.broadcast(counts.select("shard", "part", (F.sum("n").over(run) - F.col("n")).alias("before")))
+    order = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size")
+    first = same.withColumn("nth", F.sum("n").over(order) - F.col("n")).join(before, ["shard", "part"])
+    first = first.withColumn("slot", F.col("before") + F.col("nth"))
+    many = first.where(F.col("n") > chunk).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(chunk).cast("long"))))
+    many = many.repartition("k", "text_crc32").select("*", F.explode(F.sequence("k", F.least(F.col("k") + chunk, "n") - 1)).alias("i")).drop("k")
+    few = first.where(F.col("n") <= chunk).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return few.unionByName(many).select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("slot") + F.col("i")).cast("long").alias("slot"), "grown_shard"
     )
 
 
@@ -112,6 +126,6 @@ j(doc_id, b, b24, jj, k) AS (
   FROM j WHERE jj <= 24),
 s AS (SELECT doc_id, max(b24) AS shard, max(b) AS grown FROM j GROUP BY doc_id)
 SELECT crc.doc_id, nb + 8 AS size, crc AS text_crc32, 'key' AS law, s.shard::INTEGER AS shard,
-  row_number() OVER (PARTITION BY s.shard ORDER BY (k1 // 1048576) % 256, crc.doc_id, crc, nb) - 1 AS slot, s.grown::INTEGER AS grown_shard
+  row_number() OVER (PARTITION BY s.shard ORDER BY (k1 // 1048576) % 128, crc // 67108864, crc.doc_id NULLS FIRST, crc, nb) - 1 AS slot, s.grown::INTEGER AS grown_shard
 FROM crc JOIN s ON crc.doc_id IS NOT DISTINCT FROM s.doc_id JOIN mul ON mul.doc_id IS NOT DISTINCT FROM s.doc_id
 """

@@ -2,12 +2,14 @@
 
 Features are log counts of hashed byte trigrams of the whole lower-cased text, all characters but letters being blanks.
 A one-versus-rest linear SVM picks the family, then pairwise SVMs vote inside it. All are trained by dual coordinate
-descent (squared hinge) on at most PER_LANGUAGE documents a language, those of smallest id hash, from labelled
-documents that are not held out. Prediction is one Arrow pass over the rows, without a shuffle.
+descent (squared hinge) on at most PER_LANGUAGE distinct documents a language, those of smallest hash, from rows that have a
+label of their own and are not held out. Prediction is one Arrow pass over the rows, without a shuffle. The model holds one weight vector a
+family and a pair of languages of a family; its size follows the languages, not the documents.
 
 Cases: `und` with score 0 for a null text, one without a letter, or when nothing could be learned; null lang rows are
-not learned from; repeated rows each give a row; a single learned language is predicted throughout; an empty table
-gives an empty result; ties go to the alphabetically first language; `known` keeps all other columns.
+not learned from, whatever other rows share their doc_id; repeated rows each give a row, and are learned from once; a single learned
+language is predicted throughout; an empty table gives an empty result; ties go to the alphabetically first language; a text of any length is
+read whole, its features have a fixed size; `known` keeps all other columns, and `op4` reads doc_id, text and lang alone.
 """
 
 from __future__ import annotations
@@ -18,10 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quarry.llm.common import small_batches
-from quarry.llm.folds import drawn, fold, with_texts
+from quarry.llm.folds import fold, sampled
 
 BITS, PER_LANGUAGE, EPOCHS = 13, 400, 15
 #: Families of common languages; a language without one is a family of its own.
@@ -111,12 +112,8 @@ class Model:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """A model from docs(doc_id, text, lang): the training folds, at most per_language rows a language."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id", "lang")
-    # Counts first (one row a language): then about three times the wanted rows are ranked, however many partitions there are.
-    counts = F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("__n")))
-    near = rows.join(counts, "lang").where(drawn(F.col("doc_id")) < 3.0 * per_language / F.col("__n"))
-    order = Window.partitionBy("lang").orderBy(drawn(F.col("doc_id")), "doc_id")
-    sample = near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).select("doc_id", F.col("lang").alias("__lang"))
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0))
+    sample = sampled(rows, ["lang"], per_language)
 
     def encode(batches):
         for b in batches:
@@ -126,7 +123,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
                 [pa.array([langs[i] for i in keep], pa.string()), pa.array([features(texts[i]).astype(np.float16).tobytes() for i in keep], pa.binary())], ["lang", "x"]
             )
 
-    got = with_texts(docs, sample).select("text", "__lang").mapInArrow(encode, "lang string, x binary").toArrow().to_pydict()
+    got = sample.select("text", "lang").mapInArrow(encode, "lang string, x binary").toArrow().to_pydict()
     if not got["lang"]:
         return None
     order = sorted(range(len(got["lang"])), key=lambda i: (got["lang"][i], got["x"][i]))

@@ -10,12 +10,20 @@ with threshold 1 are phrases: their words must also stand consecutively, which i
 The frequencies are partial sums over all rows of a vocabulary as small as the templates; nothing else is shuffled and every row
 is judged inside its own task.
 
+The templates are a table of (text, label), as a list or as a DataFrame whose rows are counted before they are read (`MOST` at most,
+as the template side is part of the plan). NOTICES below is the default one.
+
+A window's best place needs no search over all starts: moving a start right to the next template word loses no template word, so only
+starts at template words are looked at, each once.
+
 Cases: null or wordless text has n_words 0, n_base 0, empty labels, score 0 and null first and last words; overlapping places
-all count; repeated rows each give a row; an empty table gives an empty result; other columns are ignored.
+all count; a text shorter than a template is one window; templates without words take no part; repeated rows each give a row; texts are
+read whole, at a cost linear in their length; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from math import ceil
 
 from pyspark.sql import Column, DataFrame
@@ -35,12 +43,70 @@ BASE = (
 NOTICES = (
     ("released under the mit license", "mit-notice"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit-grant"),
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense "
+        "and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "mit-body",
+    ),
+    (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above "
+        "copyright notice and this permission notice appear in all copies",
+        "isc-body",
+    ),
+    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd-grant"),
+    (
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in "
+        "binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other "
+        "materials provided with the distribution",
+        "bsd-conditions",
+    ),
+    (
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+        "fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or "
+        "other liability",
+        "warranty-disclaimer",
+    ),
     ("licensed under the apache license version 2 0", "apache-2.0-notice"),
+    (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a "
+        "copy of the license at",
+        "apache-2.0-header",
+    ),
     ("this work is licensed under the gnu general public license version 3", "gpl-3.0-notice"),
-    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd-grant"),
+    (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the "
+        "free software foundation either version 3 of the license or at your option any later version",
+        "gpl-header",
+    ),
     ("this source code form is subject to the terms of the mozilla public license", "mpl-notice"),
     ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by-4.0-notice"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
+    (
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation "
+        "covered by this license",
+        "bsl-1.0-grant",
+    ),
+    (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising "
+        "from the use of this software permission is granted to anyone to use this software for any purpose",
+        "zlib-grant",
+    ),
 )
+MOST = 200
+
+
+def templates(table) -> list[tuple[str, str]]:
+    """(text, label) pairs of a list or of a DataFrame(text, label); texts become their words."""
+    if isinstance(table, DataFrame):
+        rows = table.where("text is not null and label is not null").select("text", "label").limit(MOST + 1).collect()
+        if len(rows) > MOST:
+            raise ValueError(f"more than {MOST} templates")
+        table = sorted((r.text, r.label) for r in rows)
+    lower = str.maketrans(UPPER, LOWERED)
+    pairs = [(" ".join(re.findall(WORD, text.translate(lower))), label) for text, label in table]
+    return [(text, label) for text, label in pairs if text]
 
 
 def words_of(text: Column) -> Column:
@@ -69,6 +135,7 @@ def _strings(values: list[str]) -> Column:
 
 def scan(docs: DataFrame, base=BASE, notices=NOTICES, threshold: float = THRESHOLD) -> DataFrame:
     """docs(doc_id, text) with n_words, places (array of struct<label, start> of phrases) and found (struct<label, score> of notices)."""
+    base, notices = templates(base), templates(notices)
     vocabulary = sorted({w for t, _ in (*base, *notices) for w in t.split()})
     order = _frequencies(docs, vocabulary)
     phrases = [_template(t, label, 1.0, order) for t, label in base]
@@ -91,15 +158,16 @@ def scan(docs: DataFrame, base=BASE, notices=NOTICES, threshold: float = THRESHO
     def window_score(t: dict) -> Column:
         k, need, tokens = len(t["phrase"]), t["need"], t["tokens"]
 
-        def best(i: Column) -> Column:
-            # Windows of k words that hold place i; a shorter text is one window.
-            first = F.greatest(i - (k - 1), F.lit(0))
-            last = F.greatest(F.least(i, F.col("n_words").cast("int") - k), first)
-            return F.array_max(F.transform(F.sequence(first, last), lambda s: F.size(F.array_intersect(F.slice("w", s + 1, k), _strings(tokens)))))
-
         ahead = [w for r, w in enumerate(tokens) if w in t["prefix"] and len(tokens) - r >= need]
         opened = F.filter("at", lambda i: F.get("w", i).isin(ahead))
-        top = F.array_max(F.transform(opened, best))
+
+        def fresh(i: Column, before: Column) -> Column:
+            # Starts of windows that hold place i but not the place before it.
+            return F.filter(F.sequence(F.greatest(i - (k - 1), before + 1), i), lambda s: F.get("w", s).isin(tokens))
+
+        before = F.slice(F.concat(F.array(F.lit(-1)), opened), 1, F.size(opened))
+        starts = F.flatten(F.zip_with(opened, before, fresh))
+        top = F.array_max(F.transform(starts, lambda s: F.size(F.array_intersect(F.slice("w", s + 1, k), _strings(tokens)))))
         top = F.when((F.col("n_words") >= need) & (F.size(opened) > 0), top)
         return F.struct(F.lit(t["label"]).alias("label"), F.when(top >= need, top / F.lit(float(len(tokens)))).alias("score"))
 

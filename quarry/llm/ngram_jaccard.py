@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import cut, free_shuffles, small_batches, small_side, stored
+from quarry.llm.common import cut, free_shuffles, renamed, small_batches, small_side, stored
 from quarry.llm.graph import components as connected
 from quarry.llm.textkernel import U, column, mix, shingle_sets
 
@@ -263,8 +263,8 @@ def _large(members: DataFrame, sketch, width: int, percent: int, block: int) ->
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """The rows, stored, with a key of their own: keys of rows that are computed again could differ."""
-    return stored(docs.withColumn("__row", F.monotonically_increasing_id()))
+    """d (the whole row, so that no column name matters) and row (a key of its own), stored: keys of rows that are computed again could differ."""
+    return stored(docs.select(F.struct(*docs.columns).alias("d"), F.monotonically_increasing_id().alias("row")))
 
 
 def _components(docs: DataFrame, width: int, percent: int, block: int, hot: int) -> DataFrame:
@@ -277,8 +277,8 @@ def _components(docs: DataFrame, width: int, percent: int, block: int, hot: int)
     classes = full.groupBy("f1", "f2").agg(F.min("row").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     family = connected(_lists(sig, classes, percent, hot))
     free_shuffles(spark)
-    sizes = family.groupBy("label").agg(F.count("*").alias("size"))
-    family = family.join(sizes, "label").select(F.col("label").alias("fam"), "size", F.col("node").alias("rep"))
+    sizes = cut(family.groupBy("label").agg(F.count("*").alias("size")))
+    family = renamed(family, "label", sizes, "size").select(F.col("label").alias("fam"), "size", F.col("node").alias("rep"))
     # Texts of the classes that have a partner, one row each.
     members = cut(docs.select(F.col("row").alias("rep"), "text").join(small_side(family), "rep"))
     links = _evaluate(members.where(F.col("size") <= block), ["fam"], sketch, width, percent)
@@ -288,15 +288,19 @@ def _components(docs: DataFrame, width: int, percent: int, block: int, hot: int)
     free_shuffles(spark)
     ids = full.groupBy("f1", "f2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"))
     ids = cut(ids.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "least", F.coalesce("label", "rep").alias("label"), F.col("label").isNotNull().alias("tied")))
-    names = ids.where("tied").groupBy("label").agg(F.min("least").alias("component"))
-    ids = ids.join(names, "label", "left").select("f1", "f2", "label", F.when(F.col("tied"), F.col("component")).otherwise(F.col("least")).alias("component"))
-    return sig.select("row", "doc_id", "n", F.when(F.col("n") > 0, F.col("f1")).alias("f1"), "f2").join(ids, ["f1", "f2"], "left").drop("f1", "f2")
+    names = cut(ids.where("tied").groupBy("label").agg(F.min("least").alias("component")))
+    ids = renamed(ids, "label", names, "component")
+    # The classes by fingerprint: copies by the thousand share one, so their rows are split like those of a component.
+    of = F.struct("label", F.when(F.col("tied"), F.col("component")).otherwise(F.col("least")).alias("component"))
+    ids = cut(ids.select(F.struct("f1", "f2").alias("f"), of.alias("of")))
+    out = renamed(sig.select("row", "doc_id", "n", F.when(F.col("n") > 0, F.struct("f1", "f2")).alias("f")), "f", ids, "of", limit=100_000)
+    return out.select("row", "doc_id", "n", "of.label", "of.component")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK, hot: int = HOT_LIST) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    docs = _keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).withColumnRenamed("__row", "row")
-    out = _components(docs, width, percent, block, hot)
+    docs = _keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    out = _components(docs.select("row", "d.*"), width, percent, block, hot)
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
@@ -305,12 +309,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of rows without words, those that repeat a doc_id go. Columns unchanged."""
     keyed = _keyed(docs)
-    found = _components(keyed.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), WIDTH, PERCENT, BLOCK, HOT_LIST)
+    found = _components(keyed.select("row", F.col("d.doc_id").cast("long").alias("doc_id"), "d.text"), WIDTH, PERCENT, BLOCK, HOT_LIST)
     # A group is a component, or the wordless rows of one doc_id; a wordless row without id is in none.
     found = cut(found.select("row", "doc_id", F.col("label").isNull().alias("blank"), F.coalesce("label", "doc_id").alias("of")).where("of is not null"))
     first = found.groupBy("blank", "of").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row"))["row"].alias("row"))
-    gone = found.join(first.select("row"), "row", "left_anti").select(F.col("row").alias("__gone"))
-    return keyed.join(small_side(cut(gone)), F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
+    gone = found.join(first.select("row"), "row", "left_anti").select("row")
+    return keyed.join(small_side(cut(gone)), "row", "left_anti").select("d.*")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

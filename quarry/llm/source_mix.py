@@ -8,7 +8,8 @@ The table of sources is far smaller than the documents; it is ranked without gat
 partitions and their counts) and joined by broadcast only if counted small.
 
 Cases: a null text has size 0; a null source is a source of its own, ranked last; a source without words has rate 0
-(target 0); repeated rows take the same decision; an empty table gives an empty result; `mixed` keeps all columns.
+(target 0); repeated rows take the same decision, rows without id that of the empty id; texts are counted whole; an empty table gives an
+empty result; `mixed` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -65,35 +66,29 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(digits, 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def plan(docs: DataFrame, **options) -> DataFrame:
-    """All columns of docs with __size, __source_size, __target and __copies."""
-    spark = docs.sparkSession
+def plan(docs: DataFrame, carry: list[str], **options) -> DataFrame:
+    """d (the carried columns of every row, as a struct, so that no column name matters), size, source_size, target, copies."""
     seed = options.pop("seed", SEED)
-    sized = docs.withColumn("__size", size_of(F.col("text")))
-    goal = targets(sized.groupBy("source").agg(F.sum("__size").alias("source_size")), **options)
-    goal = cut(goal.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target")))
+    size = size_of(F.col("text"))
+    goal = cut(targets(docs.select("source", size.alias("size")).groupBy("source").agg(F.sum("size").alias("source_size")), **options))
+    goal = goal.select(F.col("source").alias("of"), "source_size", "target")
     if goal.count() <= BROADCAST_ROWS:
         goal = F.broadcast(goal)
-    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(0.0)
-    copies = F.floor(rate) + (draw(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
-    return sized.join(goal, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__copies", copies.cast("int")).drop("__source")
+    rows = docs.select(F.struct(*carry).alias("d"), "source", size.alias("size"), draw(F.col("doc_id"), seed).alias("draw"))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    copies = F.floor(rate) + (F.col("draw") < rate - F.floor(rate)).cast("long")
+    return rows.join(goal, F.col("source").eqNullSafe(F.col("of"))).select("d", "size", "source_size", "target", copies.cast("int").alias("copies"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix: the documents' own columns, each row __copies times."""
-    rows = plan(docs, **options).where("__copies > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """The mix: the documents' own columns, each row `copies` times."""
+    rows = plan(docs, docs.columns, **options).where("copies > 0")
+    return rows.select("d", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("d.*")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
-    rows = plan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
-    return rows.select(
-        "doc_id",
-        F.col("__size").alias("size"),
-        F.col("__source_size").alias("source_size"),
-        F.col("__target").alias("target"),
-        (F.col("__size") * F.col("__copies")).cast("long").alias("taken"),
-    )
+    rows = plan(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
+    return rows.select("d.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 ORACLE = r"""

@@ -72,8 +72,13 @@ def pieces(offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]
 
 def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word and the n + 1 word offsets of the rows."""
+    return spans(data, offsets, separators)[:2]
+
+
+def spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As `words`, with the first byte of every word and the one after its last. A word of any length costs no memory but a block's."""
     if not len(data):
-        return np.zeros(0, U), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, U), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     inside = ~separators[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
@@ -90,13 +95,33 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tupl
             lo = starts[at]
             to = max(at + 1, int(np.searchsorted(ends, lo + _PIECE, "right")))
             hi = ends[to - 1]
+            if hi - lo > _PIECE:  # one long word, in blocks
+                out[at] = _long(data[lo:hi])
+                at = to
+                continue
             part = (LOWER[data[lo:hi]].astype(U) + U(1)) * _pow("up", _BASE, hi - lo)[: hi - lo]
             total = np.zeros(hi - lo + 1, U)
             np.cumsum(part, out=total[1:])
             s, e = starts[at:to] - lo, ends[at:to] - lo
             out[at:to] = (total[e] - total[s]) * _pow("down", _INVERSE, hi - lo)[s] + (e - s).astype(U)
             at = to
-        return mix(out), rows
+        return mix(out), rows, starts, ends
+
+
+def _long(word: np.ndarray) -> np.uint64:
+    """The sum that `spans` forms for a word, block by block."""
+    powers, total, scale = _pow("up", _BASE, _PIECE)[:_PIECE], 0, 1
+    step = pow(_BASE, _PIECE, 1 << 64)
+    for k in range(0, len(word), _PIECE):
+        part = word[k : k + _PIECE]
+        total += scale * int(((LOWER[part].astype(U) + U(1)) * powers[: len(part)]).sum(dtype=U))
+        scale = scale * step % (1 << 64)
+    return U((total + len(word)) % (1 << 64))
+
+
+def plain(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """Words as lower-case bytes with one blank between."""
+    return b" ".join(LOWER[data[s:e]].tobytes() for s, e in zip(starts.tolist(), ends.tolist(), strict=True))
 
 
 def grams(hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

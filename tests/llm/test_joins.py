@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 
 from quarry.llm import decontaminate, ngram_jaccard
+from quarry.llm.common import renamed
 from quarry.llm.graph import components
 from quarry.llm.textkernel import PUNCT, SPACES, column, words
 
@@ -117,6 +118,27 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert {got[i] for i in range(301)} == {0} and {got[i] for i in range(1000, 1400)} == {1000} and 5000 not in got
 
 
+@pytest.mark.parametrize(("limit", "hot"), [(10**6, 10**6), (0, 3), (0, 10**6)])
+def test_components_however_the_renaming_joins(spark, limit, hot):
+    r = random.Random(limit + hot)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(1000, k) for k in range(1001, 1100)]
+    got = dict(components(spark.createDataFrame(edges, "a long, b long"), limit, hot).collect())
+    label = {v: v for e in edges for v in e if e[0] != e[1]}
+    for _ in range(300):
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    assert got == label
+
+
+@pytest.mark.parametrize(("limit", "hot"), [(10, 10**6), (0, 2), (0, 10**6)])
+def test_renaming_keeps_every_row(spark, limit, hot):
+    rows = spark.createDataFrame([(i, k) for i, k in enumerate(["a"] * 9 + ["b", "c", "c", None, None, "z"])], "i int, k string")
+    table = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("q", 4)], "k string, v int")
+    got = sorted(map(tuple, renamed(rows, "k", table, "v", limit, hot).collect()))
+    assert got == [(i, k, {"a": 1, "b": 2, "c": 3}.get(k)) for i, k in map(tuple, rows.collect())]
+
+
 @pytest.mark.parametrize("separators", [SPACES, PUNCT])
 def test_word_hashes_follow_words(separators):
     texts = ["a b", "A  B", "ab", "", "é x", "x é", "a" * 3_000_000, "a" * 2_999_999]
@@ -239,3 +261,24 @@ def test_rows_of_null_and_repeated_ids_take_part_in_deduplication(spark, documen
     blank = [t for i, t in kept.elements() if i == 7 and not t.strip()]
     assert len(alone) == 1 and len(blank) == 1
     assert kept == Counter([(None, alone[0]), (4, b + " x"), (7, c), (7, "another text"), (7, blank[0]), (9, " "), (8, e + " x"), (None, None), (None, None)])
+
+
+def test_equal_word_hashes_are_no_hit(monkeypatch):
+    from quarry.llm import textkernel
+
+    spans = textkernel.spans
+    monkeypatch.setattr(decontaminate, "spans", lambda *a: (np.zeros_like(spans(*a)[0]), *spans(*a)[1:]))
+    index = decontaminate.Index(["1"], ["a b c d e f g h i j"], 10, 5)
+    index.order({k: np.zeros(len(v), np.int64) for k, v in index.vocabulary.items()})
+    for text, hit in (("a b c d e f g h i j", True), ("A-b c d e f g h i J", True), ("k b c d e f g h i j", False)):
+        data, offsets = column(pa.array([text]))
+        assert bool(index.scan(data, offsets)[2]) == hit
+
+
+def test_a_long_item_is_dealt_over_blocks():
+    words_ = [f"w{i}" for i in range(57)]
+    parts = list(decontaminate._parts(", ".join(words_), 10, 8))
+    windows = [tuple(p.split()[i : i + 10]) for p in parts for i in range(len(p.split()) - 9)]
+    assert len(parts) > 5 and sorted(windows) == sorted(tuple(words_[i : i + 10]) for i in range(48))
+    assert list(decontaminate._parts("one, two  " + " " * 100, 10, 8)) == ["one two"]
+    assert list(decontaminate._parts("one two", 10, 8)) == ["one two"]

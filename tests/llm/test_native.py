@@ -41,6 +41,24 @@ def test_license_scan_equals_brute_force(spark, folder):
     assert got == Counter((i, *brute(t)) for i, t in EDGES)
 
 
+def test_license_scan_takes_a_table_of_templates(spark, documents):
+    table = spark.createDataFrame([("Alpha beta GAMMA delta epsilon", "greek"), ("...", "none"), (None, "null"), ("one", "single")], "text string, label string")
+    docs = documents([(1, "x alpha y beta gamma delta z"), (2, "alpha beta gamma delta"), (3, "One two"), (4, None), (5, "alpha " * 3000)])
+    got = {r.doc_id: [(f.label, f.score) for f in r.found] for r in license_scan.scan(docs, notices=table).collect()}
+    assert got == {1: [("greek", 0.8)], 2: [("greek", 0.8)], 3: [("single", 1.0)], 4: [], 5: []}
+    with pytest.raises(ValueError, match="templates"):
+        license_scan.templates(spark.range(300).selectExpr("concat('w', id) AS text", "'l' AS label"))
+
+
+def test_license_bodies_within_other_text(spark, folder):
+    body = dict((label, text) for text, label in license_scan.NOTICES)["mit-body"]
+    words = body.split()
+    rows = [(1, "some code " * 40 + body.upper() + " more code" * 40), (2, " ".join(w for i, w in enumerate(words) if i % 8)), (3, " ".join(w for i, w in enumerate(words) if i % 2)), (4, " ".join(words[:40]))]
+    d = folder(documents=doc_table(rows))
+    got = {tuple(r) for r in license_scan.op1(spark, d).collect()}
+    assert got == {(i, *brute(t)) for i, t in rows} and any("mit-body" in r[6] for r in got)
+
+
 def test_license_scan_orders_by_corpus_frequency():
     t = license_scan._template("mit license", "mit", 1.0, {"mit": 900, "license": 3})
     assert t["prefix"] == ["license"]
@@ -75,6 +93,25 @@ def test_sharding_law(spark, folder):
     assert set(slots) <= set(range(24)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_slots_of_repeated_rows_and_of_one_key(spark, folder):
+    rows = [(5, "same")] * 500 + [(None, f"text {i}") for i in range(300)] + [(5, f"other {i}") for i in range(50)] + [(None, None)] * 20
+    docs = spark.read.parquet(folder(documents=doc_table(rows)) + "/documents.parquet")
+    for chunk in (65_536, 7):
+        got = jump_shard.place(docs, chunk=chunk).collect()
+        assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows)
+        slots = defaultdict(list)
+        for r in got:
+            slots[r.shard].append(r.slot)
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_text_keys_and_a_column_of_that_name(spark):
+    docs = spark.createDataFrame([("a", 7, "x"), ("b", 8, "y"), (None, 9, "z")], "doc_id string, shard int, text string")
+    out = {r.doc_id: r for r in jump_shard.assign(docs).collect()}
+    assert out["a"].shard_input == 7 and out[None].shard_input == 9 and all(0 <= r.shard < 24 for r in out.values())
+    assert {r.doc_id: r.shard for r in jump_shard.place(docs).collect()} == {k: r.shard for k, r in out.items()}
+
+
 @pytest.mark.parametrize("shards", [1, 2, 7, 100])
 def test_jump_against_the_published_loop(spark, shards):
     from pyspark.sql import functions as F

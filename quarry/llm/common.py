@@ -47,9 +47,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     """The rows written once as Parquet in the shared folder and read again: smaller than a checkpoint, and columns stay apart."""
-    folder = shared_folder(df.sparkSession, "stored")
+    folder = folder or shared_folder(df.sparkSession, "stored")
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
@@ -73,10 +73,11 @@ def renamed(rows: DataFrame, column: str, table: DataFrame, into: str, limit: in
     key = F.col(column) == F.col("__key")
     if table.limit(limit + 1).count() <= limit:
         return rows.join(F.broadcast(table), key, "left").drop("__key")
+    rows = stored(rows)
     counts = rows.groupBy(F.col(column).alias("__hot")).count()
     total = rows.count()
     heavy = cut(counts.where((F.col("count") > max(hot, total // 10_000)) & F.col("__hot").isNotNull()).select("__hot"))
-    some = F.broadcast(cut(table.join(F.broadcast(heavy), F.col("__key") == F.col("__hot")).select("__key", into)))
+    some = F.broadcast(cut(heavy.join(table, F.col("__key") == F.col("__hot"), "left").select(F.col("__hot").alias("__key"), into)))
     of_heavy = rows.join(some, key).drop("__key")
     others = rows.join(F.broadcast(heavy), F.col(column) == F.col("__hot"), "left_anti")
     return of_heavy.unionByName(others.join(table, key, "left").drop("__key"))

@@ -133,7 +133,7 @@ def test_components_however_the_renaming_joins(spark, limit, hot):
 
 @pytest.mark.parametrize(("limit", "hot"), [(10, 10**6), (0, 2), (0, 10**6)])
 def test_renaming_keeps_every_row(spark, limit, hot):
-    rows = spark.createDataFrame([(i, k) for i, k in enumerate(["a"] * 9 + ["b", "c", "c", None, None, "z"])], "i int, k string")
+    rows = spark.createDataFrame([(i, k) for i, k in enumerate(["a"] * 9 + ["b", "c", "c", None, None] + ["z"] * 5 + [None] * 4)], "i int, k string")
     table = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("q", 4)], "k string, v int")
     got = sorted(map(tuple, renamed(rows, "k", table, "v", limit, hot).collect()))
     assert got == [(i, k, {"a": 1, "b": 2, "c": 3}.get(k)) for i, k in map(tuple, rows.collect())]

@@ -81,15 +81,9 @@ def redirect_source(pattern: str) -> tuple[str, str, int]:
 
 
 def build_route(pattern: str) -> str:
-    """[x], [...x] and [[...x]] segments of a build's route pattern."""
+    """[x], [...x] and [[...x]] segments of a build's route pattern: one segment, one or more, any number; a slash may end the path."""
+    kinds = (("[[...", "]]", "(?:/[^?#]+)?"), ("[...", "]", "/[^?#]+"), ("[", "]", "/[^/?#]+"))
     out = ""
-    for segment in pattern.split("/")[1:]:
-        if re.fullmatch(r"\[\[\.\.\.[^\]]+\]\]", segment):
-            out += "(?:/.*)?"
-        elif re.fullmatch(r"\[\.\.\.[^\]]+\]", segment):
-            out += "/.+"
-        elif re.fullmatch(r"\[[^\]]+\]", segment):
-            out += "/[^/]+"
-        else:
-            out += "/" + escape(segment)
-    return f"^{out or '/'}$"
+    for segment in filter(None, pattern.split("/")):
+        out += next((text for head, tail, text in kinds if segment.startswith(head) and segment.endswith(tail)), "/" + escape(segment))
+    return f"^{out}/?$" if out else "^/$"

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
+from collections import Counter
+from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,8 +33,64 @@ def _nfkc_lower(s: pd.Series) -> pd.Series:
 
 
 def normalized(text: Column) -> Column:
-    """NFKC, lower case, single blanks. Pure ASCII text stays in the JVM's own functions afterwards."""
-    return collapse(_nfkc_lower(text))
+    """NFKC, lower case, single blanks. Pure ASCII text stays in the JVM's own functions: nothing of it goes to Python."""
+    plain = F.octet_length(text) == F.char_length(text)
+    return collapse(F.when(plain, F.lower(text)).otherwise(_nfkc_lower(F.when(~plain, text))))
+
+
+#: Letters and numbers.
+_WORD = re.compile(r"[^\W_]+")
+_KEEP = 200_000
+
+
+class Similarity:
+    """64-bit similarity hashes; the bits of a token are computed once and kept, up to a bounded number of tokens."""
+
+    def __init__(self, keep: int = _KEEP):
+        self.keep, self.at, self.signs = keep, {}, np.zeros((0, 64), np.int8)
+
+    def hash(self, tokens: list[str]) -> int:
+        if not tokens:
+            return 0
+        counts = Counter(tokens)
+        if len(self.at) > self.keep:
+            self.at.clear()
+            self.signs = self.signs[:0]
+        if fresh := [t for t in counts if t not in self.at]:
+            digests = b"".join(hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest()[:8] for t in fresh)
+            have, need = len(self.at), len(self.at) + len(fresh)
+            self.at.update(zip(fresh, range(have, need), strict=True))
+            if need > len(self.signs):
+                more = np.zeros((max(need, 2 * len(self.signs)), 64), np.int8)
+                more[:have] = self.signs[:have]
+                self.signs = more
+            self.signs[have:need] = 2 * np.unpackbits(np.frombuffer(digests, np.uint8)).reshape(-1, 64).astype(np.int8) - 1
+        rows = np.fromiter((self.at[t] for t in counts), np.int64, len(counts))
+        weights = np.fromiter(counts.values(), np.float64, len(counts))
+        bits = weights @ self.signs[rows] >= 0
+        return int(np.packbits(bits).view(">i8")[0])
+
+
+_similarity = Similarity()
+
+
+def _evidence_of(text: str | None) -> tuple[int, int, str, int]:
+    text = squash(unicodedata.normalize("NFKC", text or "").lower())
+    tokens = _WORD.findall(text)
+    raw = text.encode("utf-8", "surrogatepass")
+    return len(text) + sum(c > "\uffff" for c in text) if not text.isascii() else len(text), len(tokens), hashlib.sha256(raw).hexdigest(), _similarity.hash(tokens)
+
+
+EVIDENCE = "characters int, words int, sha256 string, simhash long"
+
+
+def _evidence(s: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_evidence_of(x) for x in s], columns=["characters", "words", "sha256", "simhash"])
+
+
+def evidence(text: Column) -> Column:
+    """characters (UTF-16 units), words, sha256 and simhash of the normalized text: one Arrow pass, each row by itself, nothing is shuffled."""
+    return F.pandas_udf(_evidence, EVIDENCE)(text)
 
 
 def words(text: Column) -> Column:
@@ -55,27 +115,21 @@ def simhash(tokens: Column) -> Column:
     return F.when(F.size(tokens) > 0, F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))).otherwise(F.lit(0).cast("long"))
 
 
-def simhash_by_rows(frame, key: str, tokens: str):
-    """key, simhash of frame(key, tokens) by exploded tokens: distinct tokens are hashed once per row, the 64 sums are partial
-    aggregates in generated code. Rows without tokens get 0."""
-    t = frame.select(key, F.explode(tokens).alias("t")).groupBy(key, "t").agg(F.count("*").alias("c"))
-    t = t.select(key, "c", F.conv(F.substring(F.sha2("t", 256), 1, 8), 16, 10).cast("long").alias("hi"), F.conv(F.substring(F.sha2("t", 256), 9, 8), 16, 10).cast("long").alias("lo"))
-    half = lambda b: F.col("hi" if b < 32 else "lo").bitwiseAND(F.lit(1 << (31 - b % 32)).cast("long")) != 0
-    sums = t.groupBy(key).agg(*[F.sum(F.when(half(b), F.col("c")).otherwise(-F.col("c"))).alias(f"b{b}") for b in range(64)])
-    bit = lambda b: (1 << (63 - b)) - ((1 << 64) if b == 0 else 0)
-    value = F.when(F.col("b0") >= 0, F.lit(bit(0)).cast("long")).otherwise(F.lit(0).cast("long"))
-    for b in range(1, 64):
-        value = value.bitwiseOR(F.when(F.col(f"b{b}") >= 0, F.lit(bit(b)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return frame.select(key).join(sums.select(key, value.alias("simhash")), key, "left").select(key, F.coalesce("simhash", F.lit(0).cast("long")).alias("simhash"))
-
-
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+#: Six blocks of the 64 bits: (shift, width).
+_BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+
+
 def bands(simhash: Column) -> Column:
-    """Four (number, 16 bits) bands: hashes within distance 3 share at least one."""
-    return F.array(*[F.struct(F.lit(k).alias("band"), F.shiftright(simhash, 16 * k).bitwiseAND(F.lit(0xFFFF).cast("long")).alias("bits")) for k in range(4)])
+    """Twenty (number, bits) keys, the choices of three of six blocks: hashes within distance 3 leave three blocks equal, so they share one.
+
+    A key holds 31 to 33 bits, so unlike hashes meet about once in four thousand million pairs."""
+    block = [F.shiftrightunsigned(simhash, at).bitwiseAND(F.lit((1 << width) - 1).cast("long")) for at, width in _BLOCKS]
+    keys = [F.shiftleft(block[a], 22).bitwiseOR(F.shiftleft(block[b], 11)).bitwiseOR(block[c]) for a, b, c in combinations(range(6), 3)]
+    return F.array(*[F.struct(F.lit(k).alias("band"), key.alias("bits")) for k, key in enumerate(keys)])
 
 
 def simhash_hex(simhash: Column) -> Column:

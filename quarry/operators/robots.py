@@ -19,7 +19,8 @@ def select_groups(rules: DataFrame, user_agent: str) -> DataFrame:
 
 
 def decide(urls: DataFrame, rules: DataFrame, availability: DataFrame, user_agent: str) -> DataFrame:
-    """urls(url) with `allowed`. availability(origin, state): missing allows all, unavailable or unknown blocks all.
+    """urls(url) with `allowed`. availability(origin, state) has a row for every audited origin: missing allows all, unavailable or null
+    (not fetched) blocks all. An address of an origin without a row is another site's and is allowed.
 
     The join is on the origin; only an origin's own rules are tested against its paths.
     """
@@ -27,8 +28,8 @@ def decide(urls: DataFrame, rules: DataFrame, availability: DataFrame, user_agen
     chosen = chosen.toDF("origin", "allow", "expression", "weight")
     u = urls.select("url", origin(F.col("url")).alias("origin"), target(F.col("url")).alias("path"))
     hit = u.distinct().join(chosen, "origin").where("path rlike expression").groupBy("url").agg(F.max_by("allow", F.struct("weight", "allow")).alias("won"))
-    out = u.join(availability, "origin", "left").join(hit, "url", "left")
-    return out.select("url", F.when(F.col("state") == "missing", True).when(F.col("state") == "available", F.coalesce("won", F.lit(True))).otherwise(False).alias("allowed"))
+    out = u.join(availability.withColumn("known", F.lit(True)), "origin", "left").join(hit, "url", "left")
+    return out.select("url", F.when(F.col("known").isNull() | (F.col("state") == "missing"), True).when(F.col("state") == "available", F.coalesce("won", F.lit(True))).otherwise(False).alias("allowed"))
 
 
 def delays(rules: DataFrame, agents: list[str]) -> DataFrame:
@@ -38,3 +39,15 @@ def delays(rules: DataFrame, agents: list[str]) -> DataFrame:
     for p in parts[1:]:
         out = out.union(p)
     return out.groupBy("origin").agg(F.max("delay").alias("delay"))
+
+
+#: Fixed value: the longest delay of a robots file that is kept, in milliseconds.
+MOST_DELAY = 10_000
+
+
+def pacing(delays: DataFrame, configured_ms: int = 0, honoured: bool = True) -> DataFrame:
+    """origin, delay_ms, robots_delay_seconds, clamped of delays(origin, delay in seconds): the configured delay or the declared one up to MOST_DELAY."""
+    declared = F.col("delay").cast("double") if honoured else F.lit(None).cast("double")
+    wanted = F.ceil(F.coalesce(declared, F.lit(0.0)) * 1000).cast("long")
+    kept = F.greatest(F.lit(configured_ms).cast("long"), F.least(wanted, F.lit(MOST_DELAY).cast("long")))
+    return delays.select("origin", kept.alias("delay_ms"), declared.alias("robots_delay_seconds"), (wanted > kept).alias("clamped"))

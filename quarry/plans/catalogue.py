@@ -75,29 +75,25 @@ def duplicate_titles(spark, d):
     return g.agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page")).where("pages >= 2")
 
 
-def _normalized(spark, d):
-    return _documents(spark, d).select("doc_id", text.normalized(F.col("text")).alias("t"))
-
-
 def content_fingerprint(spark, d):
-    n = _normalized(spark, d)
-    return n.select("doc_id", text.utf16_length(F.col("t")).cast("long").alias("characters"), F.size(text.words(F.col("t"))).cast("long").alias("words"), F.sha2("t", 256).alias("sha256"))
+    e = _documents(spark, d).select("doc_id", text.evidence(F.col("text")).alias("e"))
+    return e.select("doc_id", F.col("e.characters").cast("long").alias("characters"), F.col("e.words").cast("long").alias("words"), "e.sha256")
 
 
 def duplicate_content(spark, d):
-    n = _normalized(spark, d).select("doc_id", F.sha2("t", 256).alias("sha256"), F.size(text.words(F.col("t"))).alias("words")).where("words >= 20")
+    n = _documents(spark, d).select("doc_id", text.normalized(F.col("text")).alias("t"))
+    n = n.select("doc_id", F.sha2("t", 256).alias("sha256"), F.size(text.words(F.col("t"))).alias("words")).where("words >= 20")
     return n.groupBy("sha256").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc")).where("documents >= 2")
 
 
 def simhash(spark, d):
-    n = _normalized(spark, d).select("doc_id", text.words(F.col("t")).alias("w"))
-    return text.simhash_by_rows(n, "doc_id", "w").select("doc_id", text.simhash_hex(F.col("simhash")).alias("simhash"))
+    e = _documents(spark, d).select("doc_id", text.evidence(F.col("text")).alias("e"))
+    return e.select("doc_id", text.simhash_hex(F.col("e.simhash")).alias("simhash"))
 
 
 def near_duplicates(spark, d):
-    n = _normalized(spark, d).select("doc_id", text.words(F.col("t")).alias("w"), text.utf16_length(F.col("t")).alias("characters"))
-    s = text.simhash_by_rows(n.select("doc_id", "w"), "doc_id", "w").join(n.select("doc_id", F.size("w").alias("words"), "characters"), "doc_id")
-    return near.pairs(s.where("words >= 15"), "doc_id").select("a", "b", F.col("distance").cast("long").alias("distance"))
+    e = cut(_documents(spark, d).select("doc_id", text.evidence(F.col("text")).alias("e")).select("doc_id", "e.simhash", "e.words", "e.characters"))
+    return near.pairs(e.where("words >= 15"), "doc_id").select("a", "b", F.col("distance").cast("long").alias("distance"))
 
 
 def url_variants(spark, d):

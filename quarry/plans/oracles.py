@@ -189,7 +189,7 @@ FROM (SELECT url, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS p FROM
 SELECT r.*, g.* FROM (SELECT count(*) AS routes, count(completion) AS fetched, count(*) FILTER (indexability = 'indexable') AS indexable, count(*) FILTER (indexability = 'noindex') AS noindex, count(*) FILTER (hops > 0) AS redirects, greatest(0, max(depth))::INT AS max_depth FROM f) r,
 (SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS info, count(*) FILTER (code = 'broken-internal-link') AS broken_links FROM g) g""",
     "sarif_rules": WITH + f"SELECT code, CASE min({_RANK('severity')}) WHEN 0 THEN 'error' WHEN 1 THEN 'warning' ELSE 'note' END AS level, count(*) AS results FROM ({_union(PAGE)}) GROUP BY code",
-    "csv_rows": WITH + "SELECT 'warning' AS severity, 'slow-route' AS code, url, '' AS related_urls, 'budgetMs=' || CASE WHEN scope1 THEN 800 ELSE 1500 END || '; durationMs=' || duration_ms AS evidence FROM f WHERE completion = 'complete' AND duration_ms > CASE WHEN scope1 THEN 800 ELSE 1500 END UNION ALL SELECT 'warning', 'slow-redirect', url, '', 'budgetMs=500; durationMs=' || (id % 900)::DOUBLE FROM f WHERE hops > 0 AND id % 900 > 500",
+    "csv_rows": WITH + "SELECT 'warning' AS severity, 'slow-route' AS code, url, '' AS related_urls, 'budgetMs=' || CASE WHEN scope1 THEN 800 ELSE 1500 END || '; durationMs=' || duration_ms::BIGINT AS evidence FROM f WHERE completion = 'complete' AND duration_ms > CASE WHEN scope1 THEN 800 ELSE 1500 END UNION ALL SELECT 'warning', 'slow-redirect', url, 'https://site.test/p/' || final_id, 'budgetMs=500; durationMs=' || id % 900 || '; status=301' FROM f WHERE hops > 0 AND id % 900 > 500",
     "incomplete_reasons": WITH + "SELECT completion, count(DISTINCT url) AS routes FROM f WHERE completion <> 'complete' GROUP BY 1",
     "crawl_depth": WITH + ", d(id, depth) AS (SELECT 0::BIGINT, 0::BIGINT UNION SELECT e.dst, depth + 1 FROM d JOIN e ON e.src = d.id WHERE depth < 60) SELECT url, coalesce(m, -1) AS depth FROM f LEFT JOIN (SELECT id, min(d.depth) AS m FROM d GROUP BY id) x USING (id)",
     "robots_decision": WITH + "SELECT url, 'Googlebot/2.1' AS agent, NOT ((x LIKE '4%' OR x LIKE '%7') AND NOT x LIKE '44%') AS allowed FROM (SELECT url, id::VARCHAR AS x FROM f) UNION ALL SELECT url, 'Other', NOT (x LIKE '1%3%' OR x = '2') FROM (SELECT url, id::VARCHAR AS x FROM f)",

@@ -19,7 +19,10 @@ from quarry.operators.scopes import effective
 FAMILIES = {name: k for k, name in enumerate(("inventory", "contracts", "page", "agents", "times", "graph", "groups", "soft404"))}
 COLUMNS = ["url", "code", "severity", "message", "related", "evidence", "seq"]
 RANK = {"error": 0, "warning": 1, "info": 2}
+#: Fixed value: media types of HTML.
 HTML_TYPE = r"(?i)^(text/html|application/xhtml\+xml)\b"
+#: Fixed value: what a not-found page's title or heading says.
+NOT_FOUND = r"(?i)(?:^|\b)(?:404|page not found|not found|does not exist)(?:\b|$)"
 DEFAULTS = {
     "require_title": True, "require_description": True, "require_canonical": True, "require_h1": True, "require_sitemap_coverage": False,
     "require_open_graph": False, "require_og_image": False, "max_depth": 4, "max_response_ms": None, "max_redirect_hop_ms": None, "severities": {}, "paths": [],
@@ -247,12 +250,13 @@ def graph_rules(routes: DataFrame, edges: DataFrame, base_url: str | None = None
         finding(there & t_done & (F.col("t_hops") > 0), "redirecting-canonical-target", "warning", "The canonical target redirects.", 12, new),
         finding(there & (F.col("t_indexability") == "noindex"), "noindex-canonical-target", "error", "The canonical target is kept from the index.", 13, new),
     )
-    # The narrow edge list meets the narrow target states; known targets only.
-    link = edges.select("src", "dst").join(target, "dst").join(routes.select(F.col("url").alias("src"), F.col("url"), "ord"), "src")
+    # The narrow edge list meets only the targets that are broken, moved or kept from the index: a page that all others link to is out before the join.
     broken = t_done & (F.col("t_status") >= 400)
     moved = t_done & (F.col("t_hops") > 0)
+    bad = target.where(broken | moved | (F.col("t_indexability") == "noindex"))
+    link = edges.select("src", "dst").join(bad, "dst").join(routes.select(F.col("url").alias("src"), F.col("url"), "ord"), "src")
     rank = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
-    link = link.where(broken | moved | (F.col("t_indexability") == "noindex")).withColumn("nth", rank)
+    link = link.withColumn("nth", rank)
     links = emit(
         link, "graph",
         finding(broken, "broken-internal-link", "error", F.concat(F.lit("A link leads to HTTP "), F.col("t_status")), 20, new, status=F.col("t_status")),
@@ -297,17 +301,28 @@ def group_rules(routes: DataFrame) -> DataFrame:
 def time_rules(routes: DataFrame, options: dict | None = None) -> DataFrame:
     """Slow routes, and slow redirect hops by the scope of the hop's own address."""
     options = DEFAULTS | (options or {})
-    slow = finding((F.col("completion") == "complete") & (F.col("duration_ms") > F.col("max_response_ms")), "slow-route", "warning", "The page answered slowly.", 0, durationMs=F.col("duration_ms"), budgetMs=F.col("max_response_ms"))
-    hop = routes.select("ord", F.posexplode("redirects").alias("p", "h")).select("ord", "p", F.col("h.url").alias("url"), F.col("h.duration_ms").alias("ms"))
+    ms = lambda c: F.round(c).cast("long").cast("string")
+    spent = F.col("duration_ms")
+    slow = finding(
+        (F.col("completion") == "complete") & (spent > F.col("max_response_ms")), "slow-route", "warning",
+        F.concat(F.lit("The page took "), ms(spent), F.lit(" ms; its budget is "), F.col("max_response_ms").cast("string"), F.lit(" ms.")), 1000,
+        durationMs=ms(spent), budgetMs=F.col("max_response_ms"),
+    )
+    hop = routes.select("ord", F.posexplode("redirects").alias("p", "h")).select("ord", "p", F.col("h.url").alias("url"), F.col("h.duration_ms").alias("ms"), F.col("h.status").alias("status"), F.col("h.location").alias("location"))
     hop = effective(hop, options)
-    late = finding(F.col("ms") > F.col("max_redirect_hop_ms"), "slow-redirect", "warning", "A redirect answered slowly.", 0, durationMs=F.col("ms"), budgetMs=F.col("max_redirect_hop_ms"))
-    return emit(hop, "times", late, place=F.col("p")).union(emit(routes, "times", slow))
+    budget = F.col("max_redirect_hop_ms")
+    late = finding(
+        F.col("ms") > budget, "slow-redirect", "warning",
+        F.concat(F.lit("A redirect with HTTP "), F.col("status").cast("string"), F.lit(" took "), ms(F.col("ms")), F.lit(" ms; its budget is "), budget.cast("string"), F.lit(" ms.")), 0,
+        F.array("location"), durationMs=ms(F.col("ms")), budgetMs=budget, status=F.col("status"),
+    )
+    return emit(hop, "times", late, place=F.col("p")).union(emit(routes, "times", slow, place=F.lit(1 << 20)))
 
 
 def soft_404_rules(routes: DataFrame) -> DataFrame:
     """Successful pages that equal or resemble a captured 404 or 410 page (the first matching one by route order), or look like one.
 
-    Equal digests join directly; resembling ones meet in four 16-bit bands of the 64-bit hash, which loses none within
+    Equal digests join directly; resembling ones meet in keys of three of the 64-bit hash's six blocks, which loses none within
     distance 3. Reference pages that share digest, hash and length are one candidate (the first), so copies do not multiply.
     """
     c = F.col("content")
@@ -324,7 +339,7 @@ def soft_404_rules(routes: DataFrame) -> DataFrame:
     hit = exact.union(near).groupBy("url").agg(F.min_by(F.struct("ref", "same", "d"), "ref").alias("m"))
     r = routes.where("ok").join(hit, "url", "left")
     title = F.concat_ws(" ", F.get("signals.titles", 0)["value"], F.get("signals.h1s", 0)["value"])
-    looks = title.rlike(r"(?i)(?:^|\b)(?:404|page not found|not found|does not exist)(?:\b|$)") & (F.coalesce(c["characters"], F.lit(0)) <= 2000)
+    looks = title.rlike(NOT_FOUND) & (F.coalesce(c["characters"], F.lit(0)) <= 2000)
     found, ref = F.col("m").isNotNull(), F.array("m.ref.url")
     return emit(
         r, "soft404",

@@ -20,6 +20,7 @@ REFERENCES = frozenset("href base_href ids seeds sitemap_urls".split())
 ADDRESSED = frozenset(["canonicals"])
 #: Fields that may name files of the machine that built the site.
 PATHS = frozenset("detail source_manifest warnings build_directory root".split())
+#: Fixed value: social properties whose value is an address.
 _ADDRESS_PROPERTY = re.compile(r"og:(url|image|video|audio)(:(url|secure_url))?|twitter:(url|image(:src)?|player(:stream)?)")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 from urllib.parse import quote
 
@@ -112,6 +113,25 @@ def redirects(spark: SparkSession, found: dict) -> DataFrame:
     return last.select("source", "destination", "status", "conditional")
 
 
+def sample_path(pattern: str, value) -> str | None:
+    """The path of one sample: a path or address as given, a value for the only dynamic segment, or values by name."""
+    if isinstance(value, str):
+        text = value.strip()
+        if re.match(r"https?://", text, re.I):
+            text = re.sub(r"^https?://[^/?#]*", "", text, flags=re.I).partition("?")[0].partition("#")[0] or "/"
+        if text.startswith("/"):
+            return normalize_path(text)
+        slots = [s for s in pattern.split("/") if s.startswith("[") and s.endswith("]")]
+        if not text or len(slots) != 1:
+            return None
+        value = {slots[0].strip("[].") : [x for x in text.split("/") if x] if "..." in slots[0] else text}
+    path = pattern
+    for name, given in value.items():
+        text = "/".join(quote(x, safe="!'()~*") for x in (given if isinstance(given, list) else [given]))
+        path = re.sub(rf"/\[{{1,2}}(?:\.\.\.)?{re.escape(name)}\]{{1,2}}", lambda _: f"/{text}" if text else "", path)  # noqa: B023
+    return path or "/"
+
+
 def apply_samples(patterns: list[str], samples: dict[str, list]) -> tuple[list[tuple[str, str]], list[str], list[str]]:
     """(path, pattern) of samples that fit, patterns left unresolved, warnings."""
     rows, warnings = [], []
@@ -120,16 +140,69 @@ def apply_samples(patterns: list[str], samples: dict[str, list]) -> tuple[list[t
             warnings.append(f"{pattern}: not a pattern of the build")
             continue
         for value in values:
-            if isinstance(value, str):
-                path = value
-            else:
-                path = pattern
-                for name, v in value.items():
-                    text = "/".join(quote(x, safe="!'()~*") for x in (v if isinstance(v, list) else [v]))
-                    path = re.sub(rf"\[{{1,2}}(?:\.\.\.)?{re.escape(name)}\]{{1,2}}", lambda _: text, path)  # noqa: B023
-            if re.match(build_route(pattern), path) and "[" not in path:
+            path = sample_path(pattern, value)
+            if path is not None and re.match(build_route(pattern), path) and "[" not in path:
                 rows.append((path, pattern))
             else:
                 warnings.append(f"{pattern}: sample does not fit")
     done = {p for _, p in rows}
     return rows, [p for p in patterns if p not in done], warnings
+
+
+#: The manifests of a build, below its folder.
+MANIFESTS = {
+    "prerender-manifest.json": "prerender-manifest.json", "routes-manifest.json": "routes-manifest.json",
+    "app-paths-manifest.json": "server/app-paths-manifest.json", "app-path-routes-manifest.json": "app-path-routes-manifest.json",
+    "pages-manifest.json": "server/pages-manifest.json",
+}
+
+
+def _small(path: str, most: int) -> str | None:
+    if not os.path.isfile(path) or os.path.getsize(path) > most:
+        return None
+    with open(path, encoding="utf-8", errors="replace") as f:
+        return f.read()
+
+
+def build_id(folder: str) -> str | None:
+    """The text of BUILD_ID, up to a kibibyte."""
+    return (_small(os.path.join(folder, "BUILD_ID"), 1 << 10) or "").strip() or None
+
+
+def framework_version(root: str, folder: str) -> str | None:
+    """The version in the build's diagnostics, else that of the nearest installed package above root."""
+
+    def version(path: str, most: int, name: str | None = None) -> str | None:
+        try:
+            value = json.loads(_small(path, most) or "")
+        except ValueError:
+            return None
+        fits = isinstance(value, dict) and isinstance(value.get("version"), str) and name in (None, value.get("name"))
+        return value["version"] if fits else None
+
+    found = version(os.path.join(folder, "diagnostics", "framework.json"), 16 << 10, "Next.js")
+    at = os.path.abspath(root)
+    while found is None:
+        found = version(os.path.join(at, "node_modules", "next", "package.json"), 1 << 20)
+        if os.path.dirname(at) == at:
+            break
+        at = os.path.dirname(at)
+    return found
+
+
+def read_build(root: str, directory: str = ".next", samples: dict[str, list] | None = None, base_path: str = "") -> dict:
+    """The inventory of a build folder (small files, read by the driver): routes, patterns left without sample, redirects, warnings, id, version."""
+    folder = os.path.join(root, directory)
+    out = discover({name: text for name, path in MANIFESTS.items() if (text := _small(os.path.join(folder, path), LIMIT + 1)) is not None}, base_path)
+    rows, left, warnings = apply_samples(out["patterns"], samples or {})
+    for path, pattern in rows:
+        out["routes"].append((path, pattern, "dynamic", None, "samples", RANKS["dynamic"], len(out["routes"])))
+    return out | {"unresolved": sorted(left), "warnings": out["warnings"] + warnings, "build_id": build_id(folder), "version": framework_version(root, folder)}
+
+
+def ordered_routes(routes: DataFrame) -> DataFrame:
+    return routes.orderBy(F.col("pathname").cast("string collate UNICODE"))
+
+
+def ordered_redirects(rows: DataFrame) -> DataFrame:
+    return rows.orderBy(*[F.col(c).cast("string collate UNICODE") for c in ("source", "destination")])

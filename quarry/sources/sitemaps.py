@@ -7,6 +7,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.functions.urls import normalize
 from quarry.operators.shared import cut
@@ -62,22 +63,38 @@ def parsed(files: DataFrame) -> DataFrame:
 
 
 def follow(start: DataFrame, files: DataFrame, depth: int = DEPTH, most: int = FILES, entries: int = ENTRIES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(files fetched, entries, warnings) from start(url, ord): breadth-first over indexes with a visited set; the first entry of an address wins."""
+    """(files fetched, entries, warnings) from start(url, ord): breadth-first over indexes with a visited set; the first entry of an address wins.
+
+    Limits that are reached, and files deeper than `depth`, are warnings."""
     known = cut(parsed(files))
     level = cut(start.select("url", F.col("ord").cast("long").alias("ord")).orderBy("ord").limit(most))
     seen = level.withColumn("level", F.lit(0))
+    full, late = start.limit(most + 1).count() > most, None
     for k in range(1, depth + 1):
         child = known.join(level, "url").select("ord", F.posexplode("p.children").alias("at", "child"))
-        child = child.groupBy(F.col("child").alias("url")).agg(F.min(F.col("ord") * 100_000 + F.col("at")).alias("ord"))
-        child = child.join(seen.select("url"), "url", "left_anti")
+        child = child.groupBy(F.col("child").alias("url")).agg(F.min(F.struct("ord", "at")).alias("place"))
+        child = cut(child.join(seen.select("url"), "url", "left_anti"))
         room = most - seen.count()
-        level = cut(child.orderBy("ord").limit(max(0, room)))
+        full = full or child.limit(room + 1).count() > room
+        # at most `most` files, numbered in the order of their parents and of their place there
+        level = child.orderBy("place").limit(max(0, room)).withColumn("ord", F.row_number().over(Window.orderBy("place")).cast("long")).select("url", "ord")
+        level = cut(level)
         if level.isEmpty():
             break
         seen = cut(seen.union(level.withColumn("level", F.lit(k))))
+    else:
+        late = known.join(level, "url").select("ord", F.posexplode("p.children").alias("at", "child")).join(seen.select(F.col("url").alias("child")), "child", "left_anti")
+        late = late.select("ord", "at", F.concat(F.lit("Not followed, too deep: "), "child").alias("warning"))
     got = seen.join(known, "url")
     rows = got.select(F.col("url").alias("sitemap_url"), "level", "ord", F.posexplode("p.entries").alias("at", "e")).select("sitemap_url", F.struct("level", "ord", "at").alias("o"), "e.*")
     first = rows.groupBy("url").agg(F.min_by(F.struct("sitemap_url", "last_modified", "alternates", "o"), "o").alias("x")).select("url", "x.*")
-    first = first.orderBy("o").limit(entries).drop("o")
-    warnings = got.select("level", "ord", F.explode("p.warnings").alias("warning")).orderBy("level", "ord").select("warning")
-    return seen.select("url"), first, warnings
+    first = cut(first)
+    warnings = got.select("level", "ord", F.posexplode("p.warnings").alias("at", "warning"))
+    spark = files.sparkSession
+    more = [(10**6, 0, 0, f"Stopped at {most} files.")] if full else []
+    if first.limit(entries + 1).count() > entries:
+        more.append((10**6, 1, 0, f"Stopped at {entries} entries."))
+    warnings = warnings.union(spark.createDataFrame(more, "level int, ord long, at int, warning string"))
+    if late is not None:
+        warnings = warnings.union(late.select(F.lit(depth).alias("level"), F.col("ord") + (1 << 40), "at", "warning"))
+    return seen.select("url"), first.orderBy("o").limit(entries).drop("o"), warnings.orderBy("level", "ord", "at").select("warning")

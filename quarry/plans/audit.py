@@ -9,16 +9,17 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.dates import iso_now
 from quarry.functions.html import SIGNALS
 from quarry.functions.urls import normalize_url, origin
 from quarry.operators import crawl
 from quarry.operators.shared import cut
 from quarry.plans import compare, contracts as redirects, post, rules
 from quarry.sinks.redaction import redacted
+from quarry.sources import saved_reports
 from quarry.sources.captures import CONTENT, HOP, extract
 
-#: Settings that must agree before two runs are compared.
-POLICIES = ["base_url", "options", "agents"]
+POLICIES = compare.POLICIES
 #: Columns an inventory may add to captures, with what holds when it does not.
 OPTIONAL = {
     "in_sitemap": ("boolean", False), "in_build": ("boolean", False), "exempt": ("boolean", False), "render_mode": ("string", None),
@@ -76,7 +77,7 @@ def routes_of(captures: DataFrame, edges: DataFrame, seeds: list[str], options:
     return cut(rules.enrich(cut(placed), options))
 
 
-def run(captures: DataFrame, base_url: str, options: dict | None = None, edges: DataFrame | None = None, sitemap: DataFrame | None = None, contracts: DataFrame | None = None, unmatched: DataFrame | None = None, runs: DataFrame | None = None, seeds: list[str] | None = None, truncated: bool = False) -> Audit:
+def run(captures: DataFrame, base_url: str, options: dict | None = None, edges: DataFrame | None = None, sitemap: DataFrame | None = None, contracts: DataFrame | None = None, unmatched: DataFrame | None = None, runs: DataFrame | None = None, seeds: list[str] | None = None, truncated: bool = False, config: dict | None = None) -> Audit:
     """captures(`captures.CAPTURE`), one row per address and agent -> routes, findings and contract checks.
 
     edges(src, dst) default to the captured links; contracts as `contracts.CONTRACT`; runs as `rules.inventory_rules` takes it.
@@ -95,8 +96,10 @@ def run(captures: DataFrame, base_url: str, options: dict | None = None, edges:
         found, checks = redirects.audit(contracts, routes, unmatched)
         parts.append(found)
     findings = cut(post.finish(reduce(DataFrame.union, parts), options))
-    names = sorted(r.agent for r in captures.select("agent").distinct().collect())
-    return Audit(routes, agents, edges, findings, checks, {"base_url": base_url, "options": options, "agents": names, "truncated": truncated})
+    # Agents are few; in their order, as the first one leads.
+    names = [r.agent for r in captures.groupBy("agent").agg(F.min("agent_ord").alias("at")).orderBy("at", "agent").collect()]
+    settings = compare.policies({"base_url": base_url, "audit": options, **(config or {})}, names)
+    return Audit(routes, agents, edges, findings, checks, settings | {"truncated": truncated, "generated_at": iso_now()})
 
 
 def save(audit: Audit, path: str, secrets: tuple[str, ...] = ()) -> None:
@@ -109,7 +112,11 @@ def save(audit: Audit, path: str, secrets: tuple[str, ...] = ()) -> None:
 
 
 def load(spark: SparkSession, path: str) -> tuple[dict, DataFrame, DataFrame, DataFrame]:
-    """(run, findings, routes, agents) of a saved report."""
+    """(run, findings, routes, agents) of a saved report: a folder of `save`, or a JSON report."""
+    if path.endswith(".json"):
+        run, findings, captures = saved_reports.read(spark, path)
+        shots = rules.enrich_captures(captures)
+        return run, findings, compare.profile(shots.where("agent_ord = 0")), compare.profile(shots.where("agent_ord > 0"))
     meta = json.loads(spark.read.text(f"{path}/run").first().value)
     return meta, *(spark.read.parquet(f"{path}/{t}") for t in ("findings", "routes", "agents"))
 

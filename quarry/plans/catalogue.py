@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text, urls
 from quarry.operators import candidates, crawl, near, robots
 from quarry.operators.shared import cut
-from quarry.plans import audit, compare, contracts, derived, post, rules
+from quarry.plans import audit, compare, contracts, derived, post, rules, variants
 from quarry.sinks import reports
 from quarry.sources import captures
 
@@ -314,10 +314,10 @@ captured_page_findings captured_group_findings captured_soft_404_findings""".spl
 
 
 def queries():
-    return {n: globals()[n] for n in _NAMES}
+    return {n: globals()[n] for n in _NAMES} | variants.queries()
 
 
 def oracle_sql():
     from quarry.plans.oracles import ORACLES
 
-    return dict(ORACLES)
+    return dict(ORACLES) | variants.oracles()

@@ -110,6 +110,27 @@ def changed_only(current: DataFrame, baseline: DataFrame) -> tuple[DataFrame, Da
     return kept, j.agg(*[F.count_if(F.col("change") == x).alias(x) for x in ("new", "worsened", "resolved", "unchanged")])
 
 
+#: Settings of a run that must agree before two runs are compared.
+POLICIES = """base_url max_pages max_depth query respect_robots agents seeds sitemap_mode sitemap_urls include exclude timeout_ms max_bytes
+max_redirects delay_ms honour_delay rendered rendered_concurrency rendered_timeout_ms rendered_settle_ms header_names url_lists redirects options""".split()
+#: What a run that does not say so has.
+UNSAID = {"delay_ms": 0, "honour_delay": True}
+
+
+def policies(config: dict, agents: list[str]) -> dict:
+    """The compared settings of a configuration (`sources.configuration`)."""
+    limits, rendered = config.get("limits", {}), config.get("rendered", {})
+    return {
+        "base_url": config.get("base_url"), **{k: limits.get(k) for k in ("max_pages", "max_depth", "timeout_ms", "max_bytes", "max_redirects")},
+        "delay_ms": limits.get("delay_ms", 0), "honour_delay": limits.get("honour_delay", True), "query": config.get("query"),
+        "respect_robots": config.get("respect_robots"), "agents": agents, "seeds": config.get("seeds"), "sitemap_mode": "explicit" if config.get("sitemaps") else "auto",
+        "sitemap_urls": config.get("sitemaps") or [], "include": config.get("include"), "exclude": config.get("exclude"), "rendered": rendered.get("enabled", False),
+        "rendered_concurrency": rendered.get("concurrency"), "rendered_timeout_ms": rendered.get("timeout_ms"), "rendered_settle_ms": rendered.get("settle_ms"),
+        "header_names": sorted(k.lower() for k in config.get("headers", {})), "url_lists": len(config.get("url_lists", [])), "redirects": config.get("redirects", []),
+        "options": config.get("audit", {}),
+    }
+
+
 def assert_comparable(current: dict, baseline: dict, policies: list[str]) -> None:
     """Reject a filtered or truncated baseline and differing policies (compared as canonical JSON)."""
     for name, run in (("baseline", baseline), ("current run", current)):
@@ -117,6 +138,7 @@ def assert_comparable(current: dict, baseline: dict, policies: list[str]) -> Non
             raise ValueError(f"the {name} is truncated")
     if baseline.get("comparison"):
         raise ValueError("the baseline holds changed findings only")
-    same = lambda v: json.dumps(v, sort_keys=True)
-    if unlike := [p for p in policies if same(current.get(p)) != same(baseline.get(p))]:
+    plain = lambda v: {k: plain(x) for k, x in v.items() if x is not None} if isinstance(v, dict) else v
+    same = lambda run, p: json.dumps(plain(run.get(p, UNSAID.get(p))), sort_keys=True)
+    if unlike := [p for p in policies if same(current, p) != same(baseline, p)]:
         raise ValueError("the runs differ in: " + ", ".join(unlike))

@@ -12,8 +12,25 @@ DEFAULTS: dict = {
     "seeds": ["/"], "agents": ["default"], "include": [], "exclude": [], "query": "keep", "respect_robots": True,
     "limits": {"max_pages": 250, "max_depth": 8, "concurrency": 6, "timeout_ms": 15_000, "max_bytes": 2_000_000, "max_redirects": 5},
     "rendered": {"enabled": False, "concurrency": 2, "timeout_ms": 20_000, "settle_ms": 250},
-    "audit": {}, "redirects": [], "headers": {}, "url_lists": [], "build": {},
+    "audit": {}, "redirects": [], "headers": {}, "url_lists": [], "build": {}, "sitemaps": [],
 }
+#: Audit options and those of a path scope.
+AUDIT = set("require_title require_description require_canonical require_h1 require_sitemap_coverage require_open_graph require_og_image max_depth max_response_ms max_redirect_hop_ms severities".split())
+SCOPE = AUDIT | {"include", "exclude"}
+
+
+def check_audit(audit: dict) -> None:
+    """Unknown audit options and severities are errors, in path scopes too."""
+    for name, part, known in (("audit", audit, AUDIT | {"paths"}), *((f"audit.paths[{k}]", p, SCOPE) for k, p in enumerate(audit.get("paths", [])))):
+        if extra := set(part) - known:
+            raise ValueError(f"unknown setting: {name}.{min(extra)}")
+        if bad := [v for v in part.get("severities", {}).values() if v not in ("error", "warning", "info", "off")]:
+            raise ValueError(f"{name}.severities: {bad[0]} is no severity")
+        for k, v in part.items():
+            if k.startswith("require") and not isinstance(v, bool) or k.startswith("max") and v is not None and (not isinstance(v, int) or isinstance(v, bool) or v < 0):
+                raise ValueError(f"{name}.{k}: {v} is not valid")
+
+
 #: Agents known by name.
 AGENTS = {"default": "site-audit", "googlebot": "Googlebot", "bingbot": "bingbot", "mobile": "site-audit mobile"}
 
@@ -42,6 +59,7 @@ def load(path: str | None = None, overrides: dict | None = None, environment: di
                 out[key] = value
     if not re.match(r"https?://[^/@]+", out.get("base_url") or ""):
         raise ValueError("base_url must be an http(s) address without credentials")
+    check_audit(out["audit"])
     env = os.environ if environment is None else environment
     out["headers"] = {k: re.sub(r"\$\{(\w+)\}", lambda m: env[m[1]], v) for k, v in out["headers"].items()}
     return out

@@ -105,7 +105,7 @@ def test_comparability_and_sinks(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(TINY), reason="no test tables")
-@pytest.mark.parametrize("name", "page_signals page_links content_fingerprint simhash page_findings agent_findings graph_findings group_findings time_findings soft_404_findings scoped_severity robots_decision candidate_merge redirect_contracts report_diff changed_only".split())
+@pytest.mark.parametrize("name", "page_signals page_links content_fingerprint simhash page_findings agent_findings graph_findings group_findings time_findings soft_404_findings scoped_severity robots_decision candidate_merge redirect_contracts report_diff changed_only rare_page_findings rare_agent_findings rare_graph_findings rare_time_findings inventory_findings robots_parsed sitemap_parsed list_entries response_chains response_bodies build_contracts route_rows csv_lines".split())
 def test_query_equals_sql(spark, name):
     import duckdb
 
@@ -114,7 +114,7 @@ def test_query_equals_sql(spark, name):
         con.execute(f"create view {t} as select * from '{TINY}/{t}.parquet'")
     got = catalogue.queries()[name](spark, TINY).toPandas()
     want = con.execute(catalogue.oracle_sql()[name]).df()[list(got.columns)]
-    clean = lambda d: sorted(str([None if x is None or x != x else x if isinstance(x, str) else float(x) for x in r]) for r in d.itertuples(index=False))
+    clean = lambda d: sorted(str([None if x is None or type(x).__name__ == "NAType" or x != x else x if isinstance(x, str) else float(x) for x in r]) for r in d.itertuples(index=False))
     assert clean(got) == clean(want)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SHARDS, BUCKETS, PARTS, CHUNK = 24, 128, 64, 65_536
+SHARDS, BUCKETS, PARTS, CHUNK = 24, 64, 32, 65_536
 #: Fixed values of the published algorithm: multiplier of the generator, bits dropped, numerator.
 MULTIPLIER, SHIFT, SPAN = 2862933555777941757, 1 << 33, float(1 << 31)
 _WRAP = 1 << 64
@@ -126,6 +126,6 @@ j(doc_id, b, b24, jj, k) AS (
   FROM j WHERE jj <= 24),
 s AS (SELECT doc_id, max(b24) AS shard, max(b) AS grown FROM j GROUP BY doc_id)
 SELECT crc.doc_id, nb + 8 AS size, crc AS text_crc32, 'key' AS law, s.shard::INTEGER AS shard,
-  row_number() OVER (PARTITION BY s.shard ORDER BY (k1 // 1048576) % 128, crc // 67108864, crc.doc_id NULLS FIRST, crc, nb) - 1 AS slot, s.grown::INTEGER AS grown_shard
+  row_number() OVER (PARTITION BY s.shard ORDER BY (k1 // 1048576) % 64, crc // 134217728, crc.doc_id NULLS FIRST, crc, nb) - 1 AS slot, s.grown::INTEGER AS grown_shard
 FROM crc JOIN s ON crc.doc_id IS NOT DISTINCT FROM s.doc_id JOIN mul ON mul.doc_id IS NOT DISTINCT FROM s.doc_id
 """

@@ -139,6 +139,10 @@ def group_findings(spark, d):
     return rules.group_rules(_routes(spark, d)).select("url", "code", "severity", (F.size("related") + 1).cast("long").alias("routes"))
 
 
+def group_members(spark, d):
+    return rules.group_members(_routes(spark, d)).select("code", "representative", "url", "routes")
+
+
 def time_findings(spark, d):
     return _keys(rules.time_rules(_routes(spark, d), OPTIONS))
 
@@ -306,7 +310,7 @@ def events_first_wins(spark, d):
 
 
 _NAMES = """page_signals page_links resolved_links duplicate_titles content_fingerprint duplicate_content simhash near_duplicates
-url_variants url_normalization redaction page_findings agent_findings graph_findings group_findings time_findings soft_404_findings
+url_variants url_normalization redaction page_findings agent_findings graph_findings group_findings group_members time_findings soft_404_findings
 indexability findings_ordered finding_counts scoped_severity summary sarif_rules csv_rows incomplete_reasons crawl_depth bounded_crawl
 robots_decision candidate_merge redirect_contracts contract_outcomes redirect_patterns report_diff finding_diff changed_only changed_counts
 events_first_wins resolved_links_all url_normalization_all

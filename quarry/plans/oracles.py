@@ -92,6 +92,14 @@ SELECT arg_min(url, id) AS url, code, max(severity) AS severity, count(*) AS rou
   UNION ALL SELECT url, id, 'duplicate-content-across-routes', CAST(simhash AS VARCHAR), 'warning' FROM f WHERE indexability = 'indexable' AND words >= 20)
 GROUP BY code, k HAVING count(*) >= 2
 """
+_MEMBERS = """
+, m AS (SELECT url, id, 'duplicate-canonical-target' AS code, CAST(canonical_id AS VARCHAR) AS k FROM f WHERE indexability = 'indexable' AND canonical_id IS NOT NULL
+  UNION ALL SELECT url, id, 'duplicate-title-across-routes', title FROM f WHERE indexability = 'indexable' AND n_titles > 0
+  UNION ALL SELECT url, id, 'duplicate-description-across-routes', description FROM f WHERE indexability = 'indexable' AND n_descriptions > 0
+  UNION ALL SELECT url, id, 'duplicate-content-across-routes', CAST(simhash AS VARCHAR) FROM f WHERE indexability = 'indexable' AND words >= 20),
+w AS (SELECT code, first_value(url) OVER g AS representative, url, count(*) OVER (PARTITION BY code, k) AS routes FROM m WINDOW g AS (PARTITION BY code, k ORDER BY id))
+SELECT * FROM w WHERE routes >= 2
+"""
 _TITLES = """
 SELECT arg_min(url, id) AS url, 'duplicate-title-across-routes' AS code, CASE WHEN bool_or(scope2) THEN 'error' ELSE 'warning' END AS severity
 FROM f WHERE indexability = 'indexable' AND n_titles > 0 GROUP BY title HAVING count(*) >= 2
@@ -160,6 +168,14 @@ kf AS (SELECT url, 'redirect-contract-unchecked' AS code, 'warning' AS severity
   UNION ALL SELECT url, 'redirect-target-unhealthy', 'error' FROM k WHERE done AND hops > 0 AND final_id = to_id AND (status <> 200 OR sick))
 """
 
+_HEADING = _SQUASH(_ENTITIES("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"))
+#: Percent-encoding of what is not ASCII, as the address standard has it.
+_PERCENT = lambda x: f"array_to_string(list_transform(string_split({x}, ''), lambda c: CASE WHEN regexp_matches(c, '^[\\x21\\x23-\\x3B\\x3D\\x3F-\\x5F\\x61-\\x7A\\x7C\\x7E]$') THEN c ELSE url_encode(c) END), '')"
+_LINK = f"regexp_extract(url, '^https?://[^/?#]+') || {_PERCENT('h')}"
+_HELD = f"SELECT page_id, url, {_ENTITIES('unnest(regexp_extract_all(html, ' + chr(39) + '<a href=' + chr(34) + '([^' + chr(34) + ']*)' + chr(34) + '>' + chr(39) + ', 1))')} AS h FROM pages"
+_BARE = "regexp_replace(url, '#.*$', '')"
+_SEEN = "SELECT arg_min(html, page_id) AS html, url FROM pages WHERE url IS NOT NULL GROUP BY url"
+_BODY = "regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g')"
 ORACLES = {
     "page_signals": f"SELECT page_id, {_TITLE} AS title, len(regexp_extract_all(html, '<h1>')) AS h1s, len(regexp_extract_all(html, '<a href=')) AS links, regexp_extract(html, '<html lang=\"(\\w+)\"', 1) AS lang FROM pages",
     "page_links": f"SELECT page_id, position - 1 AS position, {_ENTITIES('h')} AS href, {_SQUASH(_ENTITIES('l'))} AS label FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 1)) AS h, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 2)) AS l, generate_subscripts(regexp_extract_all(html, '<a href=\"([^\"]*)\">'), 1) AS position FROM pages)",
@@ -176,10 +192,23 @@ UNION ALL SELECT x.k, y.k, bit_count(xor(x.h, y.h))::BIGINT FROM reps x JOIN rep
 FROM (SELECT url, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS p FROM (SELECT url FROM pages UNION ALL SELECT regexp_replace(url, '^(https?://[^/]+)(/[^?]*)', '\\1\\2/') FROM pages WHERE page_id % 5 = 0)) GROUP BY 1 HAVING count(DISTINCT url) >= 2""",
     "url_normalization": "SELECT page_id, url, regexp_replace(url, '\\?.*$', '') AS bare FROM pages WHERE regexp_matches(url, '^https?://[a-z0-9.]+/[a-zA-Z0-9/_.-]*([?][a-z]+=[a-z0-9]+(&[a-z]+=[a-z0-9]+)*)?$')",
     "redaction": "SELECT page_id, u AS url, 'failed: ' || u || ', key [redacted].' AS message FROM (SELECT page_id, 'https://redacted:redacted@host.test/p/' || page_id || '?token=%5Bredacted%5D&page=' || page_id AS u FROM pages)",
+    "resolved_links_all": f"SELECT {_LINK} AS url, count(*) AS links, count(DISTINCT page_id) AS pages FROM ({_HELD}) GROUP BY 1",
+    "url_normalization_all": f"SELECT page_id, {_BARE} AS url, regexp_replace({_BARE}, '[?].*$', '') AS bare FROM pages",
+    "captured_page_findings": f"""WITH s AS ({_SEEN}), t AS (SELECT url, {_TITLE} AS title, len(regexp_extract_all({_BODY}, '<h1>')) AS h1s FROM s)
+SELECT url, 'missing-title' AS code, 'error' AS severity FROM t WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.url = t.url AND s.html LIKE '%<title>%') UNION ALL SELECT url, 'missing-h1', 'warning' FROM t WHERE h1s = 0 UNION ALL SELECT url, 'multiple-h1', 'warning' FROM t WHERE h1s > 1
+UNION ALL SELECT url, unnest(['missing-description', 'missing-canonical', 'missing-og-title', 'missing-og-description']), unnest(['warning', 'error', 'error', 'warning']) FROM t""",
+    "captured_group_findings": f"""WITH s AS ({_SEEN}), t AS (SELECT url, lower({_TITLE}) AS title, {_SQUASH('lower(' + _ENTITIES(f"regexp_replace(regexp_extract({_BODY}, '(?s)<body>(.*)', 1), '(?s)<!--.*?-->|<[^>]*>', ' ', 'g')") + ')')} AS shown,
+  regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path FROM s),
+k AS (SELECT url, 'duplicate-title-across-routes' AS code, title AS key FROM t WHERE title <> ''
+  UNION ALL SELECT url, 'duplicate-content-across-routes', shown FROM t WHERE len(regexp_extract_all(shown, '[\\p{{L}}\\p{{N}}]+')) >= 20
+  UNION ALL SELECT url, 'route-case-or-slash-variant', regexp_extract(url, '^(https?://[^/?#]*)', 1) || lower(CASE WHEN path = '/' THEN path ELSE regexp_replace(path, '/$', '') END) || regexp_extract(url, '^[^?#]*(\\?[^#]*)?', 1) FROM t)
+SELECT min(url) AS url, code, 'warning' AS severity, count(*) AS routes FROM k GROUP BY code, key HAVING count(*) >= 2""",
     "page_findings": WITH + _union(PAGE),
     "agent_findings": WITH + _union(AGENT),
     "graph_findings": WITH + _union(GRAPH) + "\nUNION ALL " + _JOINED,
     "group_findings": WITH + _GROUPS,
+    "group_members": WITH.rstrip() + _MEMBERS,
+    "captured_soft_404_findings": f"SELECT url, 'possible-soft-404' AS code, 'warning' AS severity, NULL::VARCHAR AS reference FROM (SELECT url, {_TITLE} AS title, {_HEADING} AS h1, length({_BODY}) AS n FROM ({_SEEN})) WHERE regexp_matches(title || ' ' || h1, '(?i)\\b(404|page not found|not found|does not exist)\\b') AND n <= 2000",
     "time_findings": WITH + _union(TIME),
     "soft_404_findings": WITH + _SOFT,
     "indexability": WITH + "SELECT url, indexability FROM f",

@@ -278,24 +278,45 @@ def graph_rules(routes: DataFrame, edges: DataFrame, base_url: str | None = None
     return flat.union(canon).union(links).union(alternates)
 
 
-def group_rules(routes: DataFrame) -> DataFrame:
-    """Routes that share a canonical, title, description, content or differ only by case or slash. Keys are counted by partial aggregates first, so only routes of real groups are gathered."""
+#: Kinds of groups: code and message.
+GROUPS = (
+    ("duplicate-canonical-target", "Several pages share a canonical address."),
+    ("duplicate-title-across-routes", "Several pages share a title."),
+    ("duplicate-description-across-routes", "Several pages share a description."),
+    ("duplicate-content-across-routes", "Several pages have the same content."),
+    ("route-case-or-slash-variant", "Addresses differ only by case or a trailing slash."),
+)
+
+
+def _group_keys(routes: DataFrame) -> DataFrame:
+    """url, ord, kind (place in GROUPS), key of every route and kind that has a key."""
     first = lambda k: F.lower(collapse(F.get(F.col(f"signals.{k}"), 0)["value"]))
     index = F.col("indexability") == "indexable"
-    kinds = (
-        ("duplicate-canonical-target", "Several pages share a canonical address.", F.when(index, F.col("canonical_url"))),
-        ("duplicate-title-across-routes", "Several pages share a title.", F.when(index, F.nullif(first("titles"), F.lit("")))),
-        ("duplicate-description-across-routes", "Several pages share a description.", F.when(index, F.nullif(first("descriptions"), F.lit("")))),
-        ("duplicate-content-across-routes", "Several pages have the same content.", F.when(index & (F.col("content.words") >= 20), F.col("content.sha256"))),
-        ("route-case-or-slash-variant", "Addresses differ only by case or a trailing slash.", variant_key(F.col("url"))),
-    )
-    keyed = routes.select("url", "ord", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), key.alias("key")) for k, (_, _, key) in enumerate(kinds)])).alias("g"))
-    keyed = keyed.select("url", "ord", "g.kind", "g.key").where("key is not null")
+    keys = (
+        F.when(index, F.col("canonical_url")), F.when(index, F.nullif(first("titles"), F.lit(""))), F.when(index, F.nullif(first("descriptions"), F.lit(""))),
+        F.when(index & (F.col("content.words") >= 20), F.col("content.sha256")), variant_key(F.col("url")),
+    )
+    keyed = routes.select("url", "ord", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), key.alias("key")) for k, key in enumerate(keys)])).alias("g"))
+    return keyed.select("url", "ord", "g.kind", "g.key").where("key is not null")
+
+
+def group_members(routes: DataFrame) -> DataFrame:
+    """code, representative, url, routes: one row a member of a group of two or more. The representative (the first route) and the size come from partial
+    aggregates, so no row or task holds a whole group; `group_rules` lists the members in one row, as a report shows them."""
+    keyed = _group_keys(routes)
+    groups = keyed.groupBy("kind", "key").agg(F.min(F.struct("ord", "url"))["url"].alias("representative"), F.count("*").alias("routes")).where("routes >= 2")
+    code = F.get(F.array(*[F.lit(c) for c, _ in GROUPS]), F.col("kind"))
+    return keyed.join(groups, ["kind", "key"]).select(code.alias("code"), "representative", "url", "routes")
+
+
+def group_rules(routes: DataFrame) -> DataFrame:
+    """Routes that share a canonical, title, description, content or differ only by case or slash. Keys are counted by partial aggregates first, so only routes of real groups are gathered."""
+    keyed = _group_keys(routes)
     shared = keyed.groupBy("kind", "key").count().where("count >= 2").drop("count")
     groups = keyed.join(shared, ["kind", "key"]).groupBy("kind", "key").agg(F.array_sort(F.collect_list(F.struct("ord", "url"))).alias("m"))
     g = groups.select("kind", F.col("m")[0]["url"].alias("url"), F.col("m")[0]["ord"].alias("ord"), F.transform("m", lambda x: x["url"]).alias("urls"))
     rest = F.slice("urls", 2, F.greatest(F.size("urls") - 1, F.lit(1)))
-    return emit(g, "groups", *[finding(F.col("kind") == k, code, "warning", text, k, rest, routes=F.size("urls")) for k, (code, text, _) in enumerate(kinds)])
+    return emit(g, "groups", *[finding(F.col("kind") == k, code, "warning", text, k, rest, routes=F.size("urls")) for k, (code, text) in enumerate(GROUPS)])
 
 
 def time_rules(routes: DataFrame, options: dict | None = None) -> DataFrame:

@@ -20,8 +20,9 @@ _MERGE = 32  # levels after which the visited set is written as one table
 def depths(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, bound: int | None = None) -> DataFrame:
     """(url, depth) of every node(url): links from the nearest seed, -1 where none leads. edges(src, dst).
 
-    Ends at the first empty level; a bound that is reached before it is an error."""
+    Ends at the first empty level; a bound that is reached before it is an error. The edges are written once, dealt by src."""
     edges = edges.select("src", "dst").join(nodes.select(F.col("url").alias("dst")), "dst", "left_semi").distinct()
+    edges = cut(edges.repartition("src"))
     seen = cut(seeds.select("url").distinct().join(nodes.select("url"), "url", "left_semi").withColumn("depth", F.lit(0)))
     level = seen
     for depth in count(1):

@@ -59,12 +59,7 @@ def page_links(spark, d):
 
 
 def resolved_links(spark, d):
-    s = _pages(spark, d).select("page_id", F.explode("signals.links").alias("l"))
-    return s.where("l.href rlike '^/[a-z]+$'").groupBy(F.col("l.resolved_url").alias("url")).agg(F.count("*").alias("links"), F.count_distinct("page_id").alias("pages"))
-
-
-def resolved_links_all(spark, d):
-    """Every link of every page, of whatever form; SQL cannot resolve them, so it has no oracle."""
+    """Every link of every page, of whatever form."""
     s = _pages(spark, d).select("page_id", F.explode("signals.links").alias("l"))
     return s.groupBy(F.col("l.resolved_url").alias("url")).agg(F.count("*").alias("links"), F.count_distinct("page_id").alias("pages"))
 
@@ -97,21 +92,17 @@ def near_duplicates(spark, d):
 
 
 def url_variants(spark, d):
-    p = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url").where("page_id % 2 = 0 or url is not null")
+    p = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url")
     twins = p.select("page_id", F.explode(F.array(F.col("url"), F.when(F.col("page_id") % 5 == 0, F.regexp_replace("url", r"^(https?://[^/]+)(/[^?]*)", "$1$2/")))).alias("url")).where("url is not null")
     return twins.groupBy(urls.variant_key(F.col("url")).alias("signature")).agg(F.count_distinct("url").alias("urls")).where("urls >= 2")
 
 
 def url_normalization(spark, d):
-    p = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url").where("url rlike '^https?://[a-z0-9.]+/[a-zA-Z0-9/_.-]*([?][a-z]+=[a-z0-9]+(&[a-z]+=[a-z0-9]+)*)?$'")
-    messy = F.concat(F.upper(F.regexp_extract("url", "^(https?://[^/]+)", 1)), F.lit("/x/../."), F.regexp_extract("url", "^https?://[^/]+(.*)$", 1), F.lit("#part"))
-    return p.select("page_id", urls.normalize_url(messy, F.col("url")).alias("url"), urls.normalize_url(messy, F.col("url"), "drop").alias("bare"))
-
-
-def url_normalization_all(spark, d):
-    """Every page's address, whatever its form; no oracle."""
+    """Every page's address, whatever its form: as it is, and from a spelling with capitals, dot segments and a fragment."""
     p = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url")
-    return p.select("page_id", urls.normalize_url(F.col("url"), F.col("url")).alias("url"), urls.normalize_url(F.col("url"), F.col("url"), "drop").alias("bare"))
+    parts = lambda k: F.regexp_extract("url", "^(https?://[^/?#]+)([^#]*)", k)
+    messy = F.when(parts(1) == "", F.col("url")).otherwise(F.concat(F.upper(parts(1)), F.lit("/x/../."), parts(2), F.lit("#part")))
+    return p.select("page_id", urls.normalize_url(F.col("url"), F.col("url")).alias("url"), urls.normalize_url(messy, F.col("url")).alias("respelled"), urls.normalize_url(messy, F.col("url"), "drop").alias("bare"))
 
 
 def redaction(spark, d):
@@ -171,8 +162,7 @@ def finding_counts(spark, d):
 
 def scoped_severity(spark, d):
     r = _routes(spark, d)
-    f = post.finish(rules.page_rules(r).union(rules.group_rules(r)), OPTIONS)
-    return _keys(f.where("code in ('missing-title', 'multiple-h1', 'missing-h1', 'duplicate-title-across-routes')"))
+    return _keys(post.finish(rules.page_rules(r).union(rules.group_rules(r)), OPTIONS))
 
 
 def summary(spark, d):
@@ -182,7 +172,7 @@ def summary(spark, d):
 
 
 def sarif_rules(spark, d):
-    return reports.sarif_rules(rules.page_rules(_routes(spark, d))).select("code", "level", "results")
+    return reports.sarif_rules(post.finish(_all(spark, d), OPTIONS)).select("code", "level", "results")
 
 
 def csv_rows(spark, d):
@@ -283,9 +273,8 @@ def report_diff(spark, d):
 
 def _two(spark, d):
     b, c = (cut(rules.enrich(x, OPTIONS)) for x in (derived.baseline(spark, d), derived.current(spark, d)))
-    drop = F.col("code").isin("missing-title", "noindex", "not-found", "missing-description")
     harder = F.when((F.col("code") == "missing-description") & F.endswith(F.col("url"), F.lit("5")), "error").otherwise(F.col("severity"))
-    return rules.page_rules(b).where(drop), rules.page_rules(c).where(drop).withColumn("severity", harder)
+    return rules.page_rules(b), rules.page_rules(c).withColumn("severity", harder)
 
 
 def finding_diff(spark, d):
@@ -313,7 +302,7 @@ _NAMES = """page_signals page_links resolved_links duplicate_titles content_fing
 url_variants url_normalization redaction page_findings agent_findings graph_findings group_findings group_members time_findings soft_404_findings
 indexability findings_ordered finding_counts scoped_severity summary sarif_rules csv_rows incomplete_reasons crawl_depth bounded_crawl
 robots_decision candidate_merge redirect_contracts contract_outcomes redirect_patterns report_diff finding_diff changed_only changed_counts
-events_first_wins resolved_links_all url_normalization_all
+events_first_wins
 captured_page_findings captured_group_findings captured_soft_404_findings""".split()
 
 

@@ -19,9 +19,9 @@ e AS ({edges_sql()})
 """
 
 
-def _union(rows) -> str:
-    """(code, severity, condition) over f, one branch each."""
-    return "\nUNION ALL\n".join(f"SELECT url, '{code}' AS code, {severity if '(' in severity or ' ' in severity else repr(severity)} AS severity FROM f WHERE {condition}" for code, severity, condition in rows)
+def _union(rows, table: str = "f") -> str:
+    """(code, severity, condition) over f or another table of its columns, one branch each."""
+    return "\nUNION ALL\n".join(f"SELECT url, '{code}' AS code, {severity if '(' in severity or ' ' in severity else repr(severity)} AS severity FROM {table} WHERE {condition}" for code, severity, condition in rows)
 
 
 PAGE = [
@@ -111,6 +111,9 @@ SELECT url, CASE WHEN same THEN 'soft-404' ELSE 'possible-soft-404' END AS code,
   WHERE p.ok AND p.words >= 8) WHERE k = 1
 """
 _SEVERITY = "CASE WHEN code = 'multiple-h1' THEN CASE WHEN regexp_extract(url, '[0-9]+$') LIKE '1%' THEN 'error' ELSE 'info' END WHEN code = 'missing-title' AND regexp_extract(url, '[0-9]+$') LIKE '1%' THEN 'warning' ELSE severity END"
+_GROUPED = f"SELECT url, code, severity FROM ({_GROUPS}) WHERE code <> 'duplicate-title-across-routes' UNION ALL {_TITLES}"
+#: Every finding of the synthetic audit with its final severity.
+_FINISHED = f"SELECT url, code, {_SEVERITY} AS severity FROM ({_union(PAGE)} UNION ALL {_union(AGENT)} UNION ALL {_union(TIME)} UNION ALL {_union(GRAPH)} UNION ALL {_JOINED} UNION ALL SELECT url, code, severity FROM ({_SOFT}) UNION ALL {_GROUPED}) WHERE code <> 'dead-end-route'"
 
 _ENTITIES = lambda x: f"replace(replace(replace(replace({x}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 _SQUASH = lambda x: f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
@@ -123,17 +126,16 @@ dig AS (SELECT doc_id, c, ('0x' || substr(sha256(w), 1, 8))::BIGINT AS hi, ('0x'
 bits AS (SELECT doc_id, b, sum(CASE WHEN ((CASE WHEN b < 32 THEN hi ELSE lo END) >> (31 - b % 32)) & 1 = 1 THEN c ELSE -c END) AS s FROM dig, range(64) r(b) GROUP BY doc_id, b),
 sim AS (SELECT n.doc_id, coalesce(bit_or(CASE WHEN s >= 0 THEN CASE WHEN b = 0 THEN 9223372036854775808::UBIGINT ELSE (1::UBIGINT << (63 - b)::UBIGINT) END ELSE 0::UBIGINT END), 0::UBIGINT) AS h FROM n LEFT JOIN bits USING (doc_id) GROUP BY n.doc_id)
 """
-_PROFILE = """
-b AS (SELECT url, CASE WHEN id % 14 = 2 AND status IS NOT NULL THEN 404 ELSE status END AS status, completion, hops, content_type, id % 13 = 6 AS noindex,
-    CASE WHEN n_titles > 0 THEN CASE WHEN id % 25 = 4 THEN 'Old title' ELSE title END END AS title, n_titles, n_descriptions, go, id FROM f WHERE id % 20 <> 13),
-bb AS (SELECT *, CASE WHEN (completion = 'complete' AND status = 200 AND hops = 0 AND content_type <> 'application/pdf') IS NOT TRUE THEN 'unknown' WHEN noindex THEN 'noindex' ELSE 'indexable' END AS indexability FROM b),
-c AS (SELECT url, status, completion, hops, content_type, has_noindex AS noindex, CASE WHEN n_titles > 0 THEN title END AS title, n_titles, n_descriptions, go, indexability, id FROM f WHERE id % 22 <> 17),
-bf AS (SELECT url, 'missing-title' AS code, 'error' AS severity FROM bb WHERE go AND indexability <> 'unknown' AND n_titles = 0
-  UNION ALL SELECT url, 'missing-description', 'warning' FROM bb WHERE go AND indexability <> 'unknown' AND n_descriptions = 0
-  UNION ALL SELECT url, 'noindex', 'info' FROM bb WHERE go AND indexability = 'noindex' UNION ALL SELECT url, 'not-found', 'error' FROM bb WHERE go AND status = 404),
-cf AS (SELECT url, 'missing-title' AS code, 'error' AS severity FROM c WHERE go AND indexability <> 'unknown' AND n_titles = 0
-  UNION ALL SELECT url, 'missing-description', CASE WHEN url LIKE '%5' THEN 'error' ELSE 'warning' END FROM c WHERE go AND indexability <> 'unknown' AND n_descriptions = 0
-  UNION ALL SELECT url, 'noindex', 'info' FROM c WHERE go AND indexability = 'noindex' UNION ALL SELECT url, 'not-found', 'error' FROM c WHERE go AND status = 404),
+#: Rules that read the rendered capture, which the baseline has none of.
+_RENDERED = ("rendered-capture-incomplete", "rendered-status-mismatch", "client-only-content")
+_HARDER = [(code, "CASE WHEN url LIKE '%5' THEN 'error' ELSE 'warning' END" if code == "missing-description" else severity, condition) for code, severity, condition in PAGE]
+_PROFILE = f"""
+b AS (SELECT * REPLACE (CASE WHEN id % 14 = 2 AND status IS NOT NULL THEN 404 ELSE status END AS status, id % 13 = 6 AS has_noindex,
+    CASE WHEN n_titles > 0 THEN CASE WHEN id % 25 = 4 THEN 'Old title' ELSE title END END AS title) FROM f WHERE id % 20 <> 13),
+bb AS (SELECT * REPLACE (coalesce({_OK}, false) AS ok, {_INDEX} AS indexability), has_noindex AS noindex FROM b),
+c AS (SELECT * REPLACE (CASE WHEN n_titles > 0 THEN title END AS title), has_noindex AS noindex FROM f WHERE id % 22 <> 17),
+bf AS ({_union([r for r in PAGE if r[0] not in _RENDERED], "bb")}),
+cf AS ({_union(_HARDER, "c")}),
 j AS (SELECT url, code, bf.severity AS bs, cf.severity AS cs FROM bf FULL OUTER JOIN cf USING (url, code))
 """
 _RANK = lambda s: f"CASE {s} WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END"
@@ -168,6 +170,17 @@ kf AS (SELECT url, 'redirect-contract-unchecked' AS code, 'warning' AS severity
   UNION ALL SELECT url, 'redirect-target-unhealthy', 'error' FROM k WHERE done AND hops > 0 AND final_id = to_id AND (status <> 200 OR sick))
 """
 
+
+def _crawl(pages: int, depth: int) -> str:
+    """k0, k1, ...: addresses known after each level of a crawl from page 0; a level takes its first ones in the order of (first source, address)."""
+    steps = ["l0 AS (SELECT 0::BIGINT AS id, 0::BIGINT AS depth), k0 AS (SELECT * FROM l0)"]
+    for d in range(depth):
+        steps.append(f"""l{d + 1} AS (SELECT dst AS id, {d + 1}::BIGINT AS depth FROM (SELECT dst, row_number() OVER (ORDER BY min(src::VARCHAR), dst::VARCHAR) AS k
+  FROM e JOIN l{d} ON e.src = l{d}.id JOIN f ON f.id = e.src WHERE f.completion = 'complete' AND f.status BETWEEN 200 AND 299 AND dst NOT IN (SELECT id FROM k{d}) GROUP BY dst)
+  WHERE k + (SELECT count(*) FROM k{d}) <= {pages}), k{d + 1} AS (SELECT * FROM k{d} UNION ALL SELECT * FROM l{d + 1})""")
+    return ",\n".join(steps) + f" SELECT 'https://site.test/p/' || id AS url, depth FROM k{depth}"
+
+
 _HEADING = _SQUASH(_ENTITIES("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"))
 #: Percent-encoding of what is not ASCII, as the address standard has it.
 _PERCENT = lambda x: f"array_to_string(list_transform(string_split({x}, ''), lambda c: CASE WHEN regexp_matches(c, '^[\\x21\\x23-\\x3B\\x3D\\x3F-\\x5F\\x61-\\x7A\\x7C\\x7E]$') THEN c ELSE url_encode(c) END), '')"
@@ -179,7 +192,6 @@ _BODY = "regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', '
 ORACLES = {
     "page_signals": f"SELECT page_id, {_TITLE} AS title, len(regexp_extract_all(html, '<h1>')) AS h1s, len(regexp_extract_all(html, '<a href=')) AS links, regexp_extract(html, '<html lang=\"(\\w+)\"', 1) AS lang FROM pages",
     "page_links": f"SELECT page_id, position - 1 AS position, {_ENTITIES('h')} AS href, {_SQUASH(_ENTITIES('l'))} AS label FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 1)) AS h, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 2)) AS l, generate_subscripts(regexp_extract_all(html, '<a href=\"([^\"]*)\">'), 1) AS position FROM pages)",
-    "resolved_links": "SELECT regexp_extract(url, '^https?://[^/]+') || h AS url, count(*) AS links, count(DISTINCT page_id) AS pages FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1)) AS h FROM pages) WHERE regexp_matches(h, '^/[a-z]+$') GROUP BY 1",
     "duplicate_titles": f"SELECT lower({_TITLE}) AS title, count(*) AS pages, min(page_id) AS first_page FROM pages WHERE {_TITLE} <> '' GROUP BY 1 HAVING count(*) >= 2",
     "content_fingerprint": f"SELECT doc_id, length(t) AS characters, len({_WORDS}) AS words, sha256(t) AS sha256 FROM ({_NORMAL})",
     "duplicate_content": f"SELECT sha256(t) AS sha256, count(*) AS documents, min(doc_id) AS first_doc FROM ({_NORMAL}) WHERE len({_WORDS}) >= 20 GROUP BY 1 HAVING count(*) >= 2",
@@ -190,10 +202,9 @@ SELECT k AS a, doc_id AS b, 0::BIGINT AS distance FROM r JOIN reps USING (h, c)
 UNION ALL SELECT x.k, y.k, bit_count(xor(x.h, y.h))::BIGINT FROM reps x JOIN reps y ON x.k < y.k AND bit_count(xor(x.h, y.h)) <= 3 AND x.c / greatest(1, y.c) BETWEEN 0.75 AND 1.25""",
     "url_variants": """SELECT regexp_extract(url, '^(https?://[^/?#]*)', 1) || lower(CASE WHEN p = '/' THEN p ELSE regexp_replace(p, '/$', '') END) || regexp_extract(url, '^[^?#]*(\\?[^#]*)?', 1) AS signature, count(DISTINCT url) AS urls
 FROM (SELECT url, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS p FROM (SELECT url FROM pages UNION ALL SELECT regexp_replace(url, '^(https?://[^/]+)(/[^?]*)', '\\1\\2/') FROM pages WHERE page_id % 5 = 0)) GROUP BY 1 HAVING count(DISTINCT url) >= 2""",
-    "url_normalization": "SELECT page_id, url, regexp_replace(url, '\\?.*$', '') AS bare FROM pages WHERE regexp_matches(url, '^https?://[a-z0-9.]+/[a-zA-Z0-9/_.-]*([?][a-z]+=[a-z0-9]+(&[a-z]+=[a-z0-9]+)*)?$')",
     "redaction": "SELECT page_id, u AS url, 'failed: ' || u || ', key [redacted].' AS message FROM (SELECT page_id, 'https://redacted:redacted@host.test/p/' || page_id || '?token=%5Bredacted%5D&page=' || page_id AS u FROM pages)",
-    "resolved_links_all": f"SELECT {_LINK} AS url, count(*) AS links, count(DISTINCT page_id) AS pages FROM ({_HELD}) GROUP BY 1",
-    "url_normalization_all": f"SELECT page_id, {_BARE} AS url, regexp_replace({_BARE}, '[?].*$', '') AS bare FROM pages",
+    "resolved_links": f"SELECT {_LINK} AS url, count(*) AS links, count(DISTINCT page_id) AS pages FROM ({_HELD}) GROUP BY 1",
+    "url_normalization": f"SELECT page_id, {_BARE} AS url, {_BARE} AS respelled, regexp_replace({_BARE}, '[?].*$', '') AS bare FROM pages",
     "captured_page_findings": f"""WITH s AS ({_SEEN}), t AS (SELECT url, {_TITLE} AS title, len(regexp_extract_all({_BODY}, '<h1>')) AS h1s FROM s)
 SELECT url, 'missing-title' AS code, 'error' AS severity FROM t WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.url = t.url AND s.html LIKE '%<title>%') UNION ALL SELECT url, 'missing-h1', 'warning' FROM t WHERE h1s = 0 UNION ALL SELECT url, 'multiple-h1', 'warning' FROM t WHERE h1s > 1
 UNION ALL SELECT url, unnest(['missing-description', 'missing-canonical', 'missing-og-title', 'missing-og-description']), unnest(['warning', 'error', 'error', 'warning']) FROM t""",
@@ -212,15 +223,16 @@ SELECT min(url) AS url, code, 'warning' AS severity, count(*) AS routes FROM k G
     "time_findings": WITH + _union(TIME),
     "soft_404_findings": WITH + _SOFT,
     "indexability": WITH + "SELECT url, indexability FROM f",
-    "finding_counts": WITH + f", a AS ({_union(PAGE)} UNION ALL {_union(AGENT)} UNION ALL {_union(TIME)} UNION ALL {_union(GRAPH)} UNION ALL {_JOINED} UNION ALL SELECT url, code, severity FROM ({_SOFT}) UNION ALL SELECT url, code, severity FROM ({_GROUPS}) WHERE code <> 'duplicate-title-across-routes' UNION ALL {_TITLES}) SELECT code, severity, count(*) AS findings FROM (SELECT url, code, {_SEVERITY} AS severity FROM a WHERE code <> 'dead-end-route') GROUP BY code, severity",
-    "scoped_severity": WITH + f", a AS ({_union(PAGE)} UNION ALL {_TITLES}) SELECT url, code, {_SEVERITY} AS severity FROM a WHERE code IN ('missing-title', 'multiple-h1', 'missing-h1', 'duplicate-title-across-routes')",
+    "finding_counts": WITH + f", a AS ({_FINISHED}) SELECT code, severity, count(*) AS findings FROM a GROUP BY code, severity",
+    "scoped_severity": WITH + f", a AS ({_union(PAGE)} UNION ALL {_GROUPED}) SELECT url, code, {_SEVERITY} AS severity FROM a",
     "summary": WITH + f""", g AS ({_union(GRAPH)} UNION ALL {_JOINED})
 SELECT r.*, g.* FROM (SELECT count(*) AS routes, count(completion) AS fetched, count(*) FILTER (indexability = 'indexable') AS indexable, count(*) FILTER (indexability = 'noindex') AS noindex, count(*) FILTER (hops > 0) AS redirects, greatest(0, max(depth))::INT AS max_depth FROM f) r,
 (SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS info, count(*) FILTER (code = 'broken-internal-link') AS broken_links FROM g) g""",
-    "sarif_rules": WITH + f"SELECT code, CASE min({_RANK('severity')}) WHEN 0 THEN 'error' WHEN 1 THEN 'warning' ELSE 'note' END AS level, count(*) AS results FROM ({_union(PAGE)}) GROUP BY code",
+    "sarif_rules": WITH + f", a AS ({_FINISHED}) SELECT code, CASE min({_RANK('severity')}) WHEN 0 THEN 'error' WHEN 1 THEN 'warning' ELSE 'note' END AS level, count(*) AS results FROM a GROUP BY code",
     "csv_rows": WITH + "SELECT 'warning' AS severity, 'slow-route' AS code, url, '' AS related_urls, 'budgetMs=' || CASE WHEN scope1 THEN 800 ELSE 1500 END || '; durationMs=' || duration_ms::BIGINT AS evidence FROM f WHERE completion = 'complete' AND duration_ms > CASE WHEN scope1 THEN 800 ELSE 1500 END UNION ALL SELECT 'warning', 'slow-redirect', url, 'https://site.test/p/' || final_id, 'budgetMs=500; durationMs=' || id % 900 || '; status=301' FROM f WHERE hops > 0 AND id % 900 > 500",
     "incomplete_reasons": WITH + "SELECT completion, count(DISTINCT url) AS routes FROM f WHERE completion <> 'complete' GROUP BY 1",
     "crawl_depth": WITH + ", d(id, depth) AS (SELECT 0::BIGINT, 0::BIGINT UNION SELECT e.dst, depth + 1 FROM d JOIN e ON e.src = d.id WHERE depth < 60) SELECT url, coalesce(m, -1) AS depth FROM f LEFT JOIN (SELECT id, min(d.depth) AS m FROM d GROUP BY id) x USING (id)",
+    "bounded_crawl": WITH + ", " + _crawl(40, 6),
     "robots_decision": WITH + "SELECT url, 'Googlebot/2.1' AS agent, NOT ((x LIKE '4%' OR x LIKE '%7') AND NOT x LIKE '44%') AS allowed FROM (SELECT url, id::VARCHAR AS x FROM f) UNION ALL SELECT url, 'Other', NOT (x LIKE '1%3%' OR x = '2') FROM (SELECT url, id::VARCHAR AS x FROM f)",
     "candidate_merge": WITH + """, r AS (SELECT '/p/' || id AS p, 0 AS depth, 'sitemap' || id % 3 AS detail, true AS s, NULL AS m, id FROM f WHERE id % 2 = 0
 UNION ALL SELECT '/p/' || id % 50, 1, 'build' || id % 3, false, CASE WHEN id % 2 = 0 THEN 'static' ELSE 'isr' END, id FROM f WHERE id % 3 = 0

@@ -146,9 +146,9 @@ def test_links_and_addresses_of_every_form_are_counted(spark, tmp_path):
     html = "<html><body>" + "".join(f'<a href="{h}">x</a>' for h in hrefs) + "</body></html>"
     spark.createDataFrame([(i, u, html) for i, u in pages], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     want = Counter(urljoin(u, h) for _, u in pages for h in hrefs)
-    got = {r.url: r.links for r in catalogue.queries()["resolved_links_all"](spark, str(tmp_path)).collect()}
+    got = {r.url: r.links for r in catalogue.queries()["resolved_links"](spark, str(tmp_path)).collect()}
     assert got == want
-    rows = {r.page_id: (r.url, r.bare) for r in catalogue.queries()["url_normalization_all"](spark, str(tmp_path)).collect()}
+    rows = {r.page_id: (r.url, r.bare) for r in catalogue.queries()["url_normalization"](spark, str(tmp_path)).collect()}
     assert rows == {1: ("https://my-host.test:8080/d/e?utm_source=feed", "https://my-host.test:8080/d/e"), 2: ("https://b.test/d/",) * 2, 3: ("https://b.test/caf%C3%A9?a_b=1", "https://b.test/caf%C3%A9")}
 
 

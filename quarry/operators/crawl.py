@@ -38,39 +38,42 @@ def depths(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, bound: int | No
     return nodes.select("url").join(seen, "url", "left").select("url", F.coalesce("depth", F.lit(-1)).alias("depth"))
 
 
-def crawl(candidates: DataFrame, captures: DataFrame, links: DataFrame, max_pages: int, max_depth: int, bound: int = 1000) -> tuple[DataFrame, DataFrame, bool]:
+def crawl(candidates: DataFrame, captures: DataFrame, links: DataFrame, max_pages: int, max_depth: int) -> tuple[DataFrame, DataFrame, bool]:
     """Bounded crawl of every site at once: visited (url, depth), outbound edges (src, dst), truncated.
 
     candidates(url, depth, priority); captures(url, completion, status) is what fetching would return; links(src, dst).
     Budgets hold per origin. Within a level addresses go in order, so a cut is the same on every run: candidates
     deeper than max_depth or beyond max_pages set `truncated`, and a target over budget remains an outbound edge.
+    Ends when no known address is left to visit, at most max_depth + 1 levels. Of a site's addresses a level ranks only
+    the first max_pages + 1, which tasks cut before the shuffle, so a large site does not land in one task.
     """
     rank = Window.partitionBy(origin(F.col("url"))).orderBy("depth", "priority", "url")
-    c = candidates.withColumn("n", F.row_number().over(rank))
+    c = cut(candidates.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= max_pages + 1))
     within = (F.col("depth") <= max_depth) & (F.col("n") <= max_pages)
     truncated = not c.where(~within).isEmpty()
-    known = cut(c.where(within).select("url", "depth"))
+    known = c.where(within).select("url", "depth", F.lit(False).alias("done"))
     open_pages = captures.where("completion = 'complete' and status between 200 and 299").select(F.col("url").alias("src"))
-    usable = cut(links.select("src", "dst").distinct().where(origin(F.col("src")) == origin(F.col("dst"))).where(~F.col("dst").rlike(r"^https?://[^/]*/cdn-cgi/l/email-protection")).join(open_pages, "src", "left_semi"))
-    visited = known.limit(0)
+    usable = links.select("src", "dst").distinct().where(origin(F.col("src")) == origin(F.col("dst"))).where(~F.col("dst").rlike(r"^https?://[^/]*/cdn-cgi/l/email-protection")).join(open_pages, "src", "left_semi")
+    usable = cut(usable.repartition("src"))
     outbound = usable.limit(0)
-    for _ in range(bound):
-        rest = known.join(visited.select("url"), "url", "left_anti")
-        low = rest.agg(F.min("depth")).first()[0]
+    for level in count(1):
+        low = known.where(~F.col("done")).agg(F.min("depth")).first()[0]
         if low is None:
             break
-        level = cut(rest.where(F.col("depth") == low))
-        found = usable.join(level.select(F.col("url").alias("src")), "src")
-        outbound = cut(outbound.union(found))
-        visited = cut(visited.union(level))
-        fresh = found.groupBy(F.col("dst").alias("url")).agg(F.min("src").alias("via")).join(known.select("url"), "url", "left_anti")
+        now = known.where(~F.col("done") & (F.col("depth") == low)).select(F.col("url").alias("src"))
+        found = cut(usable.join(now, "src").select("src", "dst"))
+        outbound = outbound.union(found)
+        if level % _MERGE == 0:
+            outbound = cut(outbound)
+        targets = found.groupBy(F.col("dst").alias("url")).agg(F.min("src").alias("via"))
         used = known.groupBy(origin(F.col("url")).alias("o")).agg(F.count("*").alias("used"))
         order = Window.partitionBy("o").orderBy("via", "url")
-        fresh = fresh.withColumn("o", origin(F.col("url"))).withColumn("k", F.row_number().over(order)).join(used, "o", "left")
+        fresh = targets.join(known.select("url"), "url", "left_anti").withColumn("o", origin(F.col("url"))).withColumn("k", F.row_number().over(order))
         fits = (F.lit(low + 1) <= max_depth) & (F.col("k") + F.coalesce("used", F.lit(0)) <= max_pages)
-        fresh = cut(fresh.withColumn("fits", fits))
+        fresh = cut(fresh.where(F.col("k") <= max_pages + 1).join(used, "o", "left").select("url", fits.alias("fits")))
         truncated = truncated or not fresh.where(~F.col("fits")).isEmpty()
-        lowered = known.join(found.select(F.col("dst").alias("url")).distinct().withColumn("hit", F.lit(True)), "url", "left")
-        lowered = lowered.select("url", F.when(F.col("hit"), F.least("depth", F.lit(low + 1))).otherwise(F.col("depth")).alias("depth"))
-        known = cut(lowered.union(fresh.where("fits").select("url", F.lit(low + 1).alias("depth"))))
-    return visited, outbound, truncated
+        lowered = known.join(targets.select("url", F.lit(True).alias("hit")), "url", "left")
+        depth = F.when(F.col("hit"), F.least("depth", F.lit(low + 1))).otherwise(F.col("depth"))
+        lowered = lowered.select("url", depth.alias("depth"), (F.col("done") | (F.col("depth") == low)).alias("done"))
+        known = cut(lowered.union(fresh.where("fits").select("url", F.lit(low + 1).alias("depth"), F.lit(False).alias("done"))))
+    return known.select("url", "depth"), outbound, truncated

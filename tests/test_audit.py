@@ -118,6 +118,43 @@ def test_query_equals_sql(spark, name):
     assert clean(got) == clean(want)
 
 
+def test_crawl_against_a_plain_queue(spark):
+    import random
+
+    draw = random.Random(5)
+    hosts = ["https://a.test/", "https://b.test/", "https://c.test/"]
+    edges = sorted({(h + str(draw.randrange(40)), draw.choice([h, h, h, hosts[0]]) + str(draw.randrange(40))) for h in hosts for _ in range(120)})
+    seeds = [(h + str(k), k % 3, 0) for h in hosts for k in range(4)] + [("https://c.test/" + str(k), 1, 1) for k in range(20, 29)]
+    shots = [(h + str(k), "complete" if k % 9 else "timeout", 404 if k % 11 == 5 else 200) for h in hosts for k in range(40)]
+    site = lambda u: u.rsplit("/", 1)[0]
+    fetched = {u for u, done, status in shots if done == "complete" and status == 200}
+    usable = [(s, t) for s, t in edges if s in fetched and site(s) == site(t)]
+    for pages, deep in ((12, 3), (100, 2), (5, 9)):
+        known, over = {}, False
+        for u, d, _ in sorted(seeds, key=lambda r: (r[1], r[2], r[0])):
+            room = d <= deep and sum(site(k) == site(u) for k in known) < pages
+            over |= not room
+            known |= {u: d} if room else {}
+        done, out = set(), set()
+        while len(done) < len(known):
+            low = min(d for u, d in known.items() if u not in done)
+            level = {u for u, d in known.items() if d == low} - done
+            found = [(s, t) for s, t in usable if s in level]
+            done |= level
+            out |= set(found)
+            for via, t in sorted((min(s for s, y in found if y == x), x) for x in {t for _, t in found}):
+                if t in known:
+                    known[t] = min(known[t], low + 1)
+                elif low + 1 <= deep and sum(site(k) == site(t) for k in known) < pages:
+                    known[t] = low + 1
+                else:
+                    over = True
+        seen, outbound, cut = crawl.crawl(spark.createDataFrame(seeds, "url string, depth int, priority int"), spark.createDataFrame(shots, "url string, completion string, status int"), spark.createDataFrame(edges, "src string, dst string"), pages, deep)
+        assert {r.url: r.depth for r in seen.collect()} == known
+        assert {(r.src, r.dst) for r in outbound.collect()} == out
+        assert cut == over
+
+
 def test_depths_end_at_an_empty_level_or_fail(spark):
     chain = spark.createDataFrame([(f"p{i}", f"p{i + 1}") for i in range(6)], "src string, dst string")
     nodes = spark.createDataFrame([(f"p{i}",) for i in range(7)] + [("orphan",)], "url string")

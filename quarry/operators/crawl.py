@@ -44,8 +44,9 @@ def crawl(candidates: DataFrame, captures: DataFrame, links: DataFrame, max_page
     candidates(url, depth, priority); captures(url, completion, status) is what fetching would return; links(src, dst).
     Budgets hold per origin. Within a level addresses go in order, so a cut is the same on every run: candidates
     deeper than max_depth or beyond max_pages set `truncated`, and a target over budget remains an outbound edge.
-    Ends when no known address is left to visit, at most max_depth + 1 levels. Of a site's addresses a level ranks only
-    the first max_pages + 1, which tasks cut before the shuffle, so a large site does not land in one task.
+    Ends when no known address is left to visit, at most max_depth + 1 levels. Only the first max_pages + 1 addresses
+    of a site are ranked on: up to a budget of 999 (spark.sql.optimizer.windowGroupLimitThreshold, 1000) tasks cut to them
+    before the shuffle, beyond it one task ranks all fresh addresses a site has in a level.
     """
     rank = Window.partitionBy(origin(F.col("url"))).orderBy("depth", "priority", "url")
     c = cut(candidates.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= max_pages + 1))

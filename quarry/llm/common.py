@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 from functools import reduce
@@ -55,7 +56,8 @@ def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished steps (it acts on the driver's garbage collection)."""
+    """Let Spark's cleaner drop shuffle files of finished steps (it acts on the driver's garbage collection, once Python holds no plan of them)."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -6,9 +6,11 @@ Plan, over documents (doc_id, text), stored once with a key of their own for eve
 2. Every text yields its set size, a 128-bit fingerprint of the set, and its prefix: the n - ceil(t n) + 1 rarest
    shingles. Equal sets collapse into one class, named by its smallest row key (partial aggregates, so a group holding a
    third of all rows collapses before the shuffle).
-3. Prefixes are exploded into posting lists. In each list, ordered by set size, every class is tied to the first class of
+3. Prefixes are exploded into posting lists. A list of at most `few` classes gives its pairs; those whose parity bitmaps
+   differ in more bits than a link's sets may in shingles go, so texts that share one shingle by chance are not tied. In a
+   longer list, ordered by set size, every class is tied to the first class of
    its run; a run ends where the next size breaks the length filter, so a run holds every pair the list can give.
-   Ties make "families" (connected components): each candidate pair lies inside one family.
+   Ties make "families" (connected components): each pair that may link lies inside one family.
 4. A family's texts meet in blocks of at most `block` classes. Inside, postings give candidates, length, positional and
    suffix filters thin them, and overlaps are counted once per pair; pairs already connected are skipped.
    A family larger than a block first runs block by block; then only classes outside its largest component
@@ -31,11 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import cut, free_shuffles, renamed, small_batches, small_side, stored
+from quarry.llm.common import BROADCAST_ROWS, cut, free_shuffles, remove, renamed, shared_folder, small_batches, small_side, stored, union
 from quarry.llm.graph import components as connected
 from quarry.llm.textkernel import U, column, mix, shingle_sets
 
-WIDTH, PERCENT, SKETCH_BITS, BLOCK, HOT_LIST = 5, 80, 23, 1024, 4096
+WIDTH, PERCENT, SKETCH_BITS, BLOCK, HOT_LIST, FEW = 5, 80, 23, 1024, 4096, 64
 _SLICES = 256
 
 
@@ -82,35 +84,60 @@ def prefix_length(n, percent: int):
     return n - (-(-percent * n // 100)) + 1
 
 
+def parity(m: np.ndarray) -> bytes:
+    """Whether an even or odd number of a set's hashes falls on each bit, with a bit a shingle or more (2**15 at most).
+
+    Two sets differ in at least as many shingles as their bitmaps do in bits; the larger bitmap folds to the smaller one."""
+    size = min(1 << 15, max(64, 1 << (len(m) - 1).bit_length()))
+    return np.packbits(np.bincount((m & U(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
+
+
+def may_link(n: int, x: bytes, k: int, y: bytes, percent: int) -> bool:
+    """False where the parity bitmaps x, y of sets of n, k shingles show that these do not link; else True."""
+    if len(x) < len(y):
+        x, y = y, x
+    v, size = int.from_bytes(x, "little"), 4 * len(x)
+    while size >= 8 * len(y):
+        v, size = (v >> size) ^ (v & ((1 << size) - 1)), size // 2
+    return (v ^ int.from_bytes(y, "little")).bit_count() <= n + k - 2 * (-(-percent * (n + k) // (100 + percent)))
+
+
 def _signatures(docs: DataFrame, sketch, width: int, percent: int) -> DataFrame:
     def run(batches):
         for b in batches:
-            n, f1, f2, prefixes = [], [], [], []
+            n, f1, f2, prefixes, parities = [], [], [], [], []
             with np.errstate(over="ignore"):
                 for s in shingle_sets(*column(b.column(1)), width):
                     m = mix(s + U(0x632BE59BD9B4E019))
                     n.append(len(s))
                     f1.append(int(m.sum(dtype=U).view(np.int64)))
                     f2.append(int(mix(m).sum(dtype=U).view(np.int64)))
+                    parities.append(parity(m) if len(m) else b"")
                     prefixes.append(rare_first(s, sketch.value)[: prefix_length(len(s), percent)].view(np.int64) if len(s) else np.zeros(0, np.int64))
             at = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             flat = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(n, pa.int32()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(pa.array(at), flat)],
-                ["row", "doc_id", "n", "f1", "f2", "prefix"],
+                [b.column(0), b.column(2), pa.array(n, pa.int32()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(pa.array(at), flat), pa.array(parities, pa.binary())],
+                ["row", "doc_id", "n", "f1", "f2", "prefix", "parity"],
             )
 
-    return docs.select("row", "text", "doc_id").mapInArrow(run, "row long, doc_id long, n int, f1 long, f2 long, prefix array<long>")
+    return docs.select("row", "text", "doc_id").mapInArrow(run, "row long, doc_id long, n int, f1 long, f2 long, prefix array<long>, parity binary")
 
 
-def _lists(sig: DataFrame, classes: DataFrame, percent: int, hot: int, bits: int = 18) -> DataFrame:
-    """Ties (a, b) between classes that share a prefix shingle and may pass the length filter."""
+def _lists(sig: DataFrame, classes: DataFrame, percent: int, hot: int, bits: int = 18, few: int = FEW, folder: str | None = None) -> DataFrame:
+    """Ties (a, b) between classes that share a prefix shingle and may pass the length filter, and the parity filter where at most `few` share it."""
     bucket = F.shiftrightunsigned("h", 64 - bits).cast("int")
     load = sig.select(F.explode("prefix").alias("h")).groupBy(bucket.alias("bucket")).count()
     most = max(hot, 4 * (load.agg(F.avg("count")).first()[0] or 0))  # so at most a quarter of the counters are hot
     heavy = F.broadcast(load.where(F.col("count") > most).select("bucket", F.ceil(F.col("count") / hot).cast("int").alias("ways")))
     p = classes.select("rep", "n", F.explode("prefix").alias("h")).withColumn("bucket", bucket).join(heavy, "bucket", "left")
     p = p.select("h", "n", "rep", F.coalesce(F.pmod(F.xxhash64("rep"), "ways"), F.lit(-1)).cast("int").alias("salt"))
+    p = p.withColumn("c", F.count("*").over(Window.partitionBy("h", "salt"))).where("c > 1 or salt >= 0")
+    p = stored(p, folder)  # most shingles have one class; the rest is read three times
+    free_shuffles(p.sparkSession)
+    short = (F.col("salt") < 0) & (F.col("c") <= few)
+    pairs = _likely(_pairs(p.where(short), percent), sig, percent)
+    p = p.where(~short)
     w = Window.partitionBy("h", "salt").orderBy("n", "rep")
     gap = F.lag("n").over(w).isNull() | ((F.col("salt") < 0) & (100 * F.lag("n").over(w).cast("long") < percent * F.col("n")))
     p = p.withColumn("gap", gap)
@@ -120,7 +147,29 @@ def _lists(sig: DataFrame, classes: DataFrame, percent: int, hot: int, bits: int
     firsts = p.where("salt >= 0 and gap")
     ahead = Window.partitionBy("h").orderBy("n", "rep")
     across = firsts.select(F.col("rep").alias("a"), F.lag("rep").over(ahead).alias("b")).where("b is not null and a != b")
-    return ties.union(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.union(ties).union(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _pairs(p: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of the same list that pass the length filter; lists of the same classes count once."""
+    lists = p.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("n", "rep"))).alias("m")).select("m").distinct()
+    firsts = lists.select("m", F.posexplode("m").alias("i", "x"))
+    pairs = firsts.select("x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y"))
+    pairs = pairs.where(100 * F.col("x.n").cast("long") >= percent * F.col("y.n").cast("long"))
+    return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
+def _likely(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) without those whose parity bitmaps exclude a link."""
+    for k in ("a", "b"):
+        pairs = pairs.join(sig.select(F.col("row").alias(k), F.col("n").alias(f"n_{k}"), F.col("parity").alias(f"parity_{k}")), k)
+
+    def run(batches):
+        for b in batches:
+            ok = [may_link(*r, percent) for r in zip(*(b.column(k).to_pylist() for k in range(2, 6)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.select("a", "b", "n_a", "parity_a", "n_b", "parity_b").mapInArrow(run, "a long, b long")
 
 
 def links_of(sets: list[np.ndarray], sketch: np.ndarray, percent: int, side: np.ndarray | None = None, known: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -267,20 +316,41 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return stored(docs.select(F.struct(*docs.columns).alias("d"), F.monotonically_increasing_id().alias("row")))
 
 
-def _components(docs: DataFrame, width: int, percent: int, block: int, hot: int) -> DataFrame:
+def _beside(docs: DataFrame, family: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """family(rep, ...) with the text of docs(row, text), row = rep. A family table too large for one broadcast goes by
+    ranges of row, which lie in files of their own, so no text without a family is shuffled."""
+    cost = sorted(tuple(r) for r in family.groupBy(F.shiftright("rep", 33).alias("p")).count().collect())
+    ranges: list[list[int]] = []
+    for p, k in cost:
+        if not ranges or ranges[-1][2] + k > limit:
+            ranges.append([p << 33, p << 33, 0])
+        ranges[-1] = [ranges[-1][0], (p + 1) << 33, ranges[-1][2] + k]
+    texts = docs.select(F.col("row").alias("rep"), "text")
+    if len(ranges) < 2:
+        return texts.join(small_side(family, limit), "rep")
+    family = stored(family)
+    within = [(F.col("rep") >= low) & (F.col("rep") < high) for low, high, _ in ranges]
+    return union([texts.where(w).join(small_side(family.where(w), limit), "rep") for w in within])
+
+
+def _components(docs: DataFrame, width: int, percent: int, block: int, hot: int, few: int = FEW) -> DataFrame:
     """docs(row, doc_id, text) -> row, doc_id, n, label (the component's smallest row; null without words), component (its smallest doc_id)."""
     spark = docs.sparkSession
     small_batches(spark)
     sketch = spark.sparkContext.broadcast(_sketch(docs, width, SKETCH_BITS))
+    free_shuffles(spark)
     sig = cut(_signatures(docs, sketch, width, percent))
     full = sig.where("n > 0")
     classes = full.groupBy("f1", "f2").agg(F.min("row").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    family = connected(_lists(sig, classes, percent, hot))
+    folder = shared_folder(spark, "lists")
+    family = connected(_lists(sig, classes, percent, hot, few=few, folder=folder))
+    remove(spark, folder)
     free_shuffles(spark)
     sizes = cut(family.groupBy("label").agg(F.count("*").alias("size")))
     family = renamed(family, "label", sizes, "size").select(F.col("label").alias("fam"), "size", F.col("node").alias("rep"))
     # Texts of the classes that have a partner, one row each.
-    members = cut(docs.select(F.col("row").alias("rep"), "text").join(small_side(family), "rep"))
+    members = cut(_beside(docs, family))
+    free_shuffles(spark)
     links = _evaluate(members.where(F.col("size") <= block), ["fam"], sketch, width, percent)
     if not (big := members.where(F.col("size") > block)).isEmpty():
         links = links.union(_large(big, sketch, width, percent, block))
@@ -297,10 +367,10 @@ def _components(docs: DataFrame, width: int, percent: int, block: int, hot: int)
     return out.select("row", "doc_id", "n", "of.label", "of.component")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK, hot: int = HOT_LIST) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK, hot: int = HOT_LIST, few: int = FEW) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     docs = _keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    out = _components(docs.select("row", "d.*"), width, percent, block, hot)
+    out = _components(docs.select("row", "d.*"), width, percent, block, hot, few)
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 

@@ -112,6 +112,48 @@ def test_filters_lose_nothing():
                 assert find(i) == find(j)
 
 
+def test_texts_that_share_one_shingle_are_not_tied(spark, documents, monkeypatch):
+    # A ring of texts, each with five words of the next: chance alone must not make one family of all.
+    r = random.Random(8)
+    own = [" ".join(f"w{r.randrange(10**9)}" for _ in range(30)) for _ in range(120)]
+    ring = [" ".join([*own[i - 1].split()[-5:], own[i]]) for i in range(120)]
+    rows = [*enumerate(ring), *((1000 + i, f"{ring[i]} x") for i in range(0, 120, 10))]
+    texts = []
+    beside = ngram_jaccard._beside
+    monkeypatch.setattr(ngram_jaccard, "_beside", lambda docs, family, **k: texts.append(family.count()) or beside(docs, family, **k))
+    assert sorted(map(tuple, ngram_jaccard.near_duplicates(documents(rows)).collect())) == brute(rows)
+    assert texts == [24]
+
+
+@pytest.mark.parametrize("few", [0, 2, 64])
+def test_components_however_long_a_list_gives_pairs(documents, few):
+    rows = corpus(5) + EDGES
+    assert sorted(map(tuple, ngram_jaccard.near_duplicates(documents(rows), few=few).collect())) == brute(rows)
+
+
+def test_parity_keeps_every_link():
+    r = random.Random(4)
+    kept = 0
+    for _ in range(400):
+        n = r.choice([1, 2, 9, 63, 64, 65, 300, 1030])
+        a = np.array([r.getrandbits(64) for _ in range(n)], np.uint64)
+        b = np.concatenate([a[r.randrange(n // 4 + 1) :], np.array([r.getrandbits(64) for _ in range(r.randrange(n // 4 + 1))], np.uint64)])
+        if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)):
+            kept += 1
+            assert ngram_jaccard.may_link(len(a), ngram_jaccard.parity(a), len(b), ngram_jaccard.parity(b), 80)
+    assert kept > 100
+    x, y = (np.array([r.getrandbits(64) for _ in range(300)], np.uint64) for _ in range(2))
+    assert not ngram_jaccard.may_link(300, ngram_jaccard.parity(x), 300, ngram_jaccard.parity(y), 80)
+
+
+@pytest.mark.parametrize("limit", [0, 3, 10**6])
+def test_texts_by_ranges_of_rows(spark, limit):
+    docs = spark.createDataFrame([((p << 33) + i, f"text {p} {i}") for p in range(5) for i in range(4)], "row long, text string")
+    family = docs.where("row % 3 <> 1").selectExpr("1L AS fam", "2L AS size", "row AS rep")
+    got = ngram_jaccard._beside(docs, family, limit).select("rep", "text", "fam", "size")
+    assert sorted(map(tuple, got.collect())) == sorted((r.row, r.text, 1, 2) for r in docs.where("row % 3 <> 1").collect())
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, k) for k in range(1001, 1400)] + [(5000, 5000)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())

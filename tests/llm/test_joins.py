@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from quarry.llm import decontaminate, ngram_jaccard
 from quarry.llm.common import renamed
 from quarry.llm.graph import components
@@ -119,12 +120,26 @@ def test_texts_that_share_one_shingle_are_not_tied(spark, documents, monkeypatch
     ring = [" ".join([*own[i - 1].split()[-5:], own[i]]) for i in range(120)]
     rows = [*enumerate(ring), *((1000 + i, f"{ring[i]} x") for i in range(0, 120, 10))]
     texts = []
+    monkeypatch.setattr(ngram_jaccard, "SKETCH_BITS", 8)  # full counters, as of a large table
     beside = ngram_jaccard._beside
     monkeypatch.setattr(ngram_jaccard, "_beside", lambda docs, family, **k: texts.append(family.count()) or beside(docs, family, **k))
     assert sorted(map(tuple, ngram_jaccard.near_duplicates(documents(rows)).collect())) == brute(rows)
     assert texts == [24]
 
 
+def test_the_pipeline_compares_no_texts_that_share_one_shingle(spark, documents, monkeypatch):
+    r = random.Random(9)
+    own = [" ".join(f"w{r.randrange(10**9)}" for _ in range(30)) for _ in range(60)]
+    rows = [(i, " ".join([*own[i - 1].split()[-5:], own[i]])) for i in range(60)]
+    sizes = []
+    monkeypatch.setattr(ngram_jaccard, "SKETCH_BITS", 8)  # full counters, as of a large table: rare shingles do not stand out
+    renamed = ngram_jaccard.renamed
+    monkeypatch.setattr(ngram_jaccard, "renamed", lambda rows, column, *a, **k: (column == "label" and "node" in rows.columns and sizes.append(rows.count())) or renamed(rows, column, *a, **k))
+    out = corpus_pipeline.deduplicate(spark, documents([*rows, (100, rows[0][1] + " x")]), "")
+    assert sorted(x.doc_id for x in out.collect()) == list(range(60))
+    assert sizes == [2]
+
+
 @pytest.mark.parametrize("few", [0, 2, 64])
 def test_components_however_long_a_list_gives_pairs(documents, few):
     rows = corpus(5) + EDGES

@@ -48,10 +48,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
+def stored(df: DataFrame, folder: str | None = None, compression: str | None = None) -> DataFrame:
     """The rows written once as Parquet in the shared folder and read again: smaller than a checkpoint, and columns stay apart."""
     folder = folder or shared_folder(df.sparkSession, "stored")
-    df.write.parquet(folder)
+    df.write.parquet(folder, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

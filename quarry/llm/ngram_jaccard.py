@@ -2,11 +2,13 @@
 
 Plan, over documents (doc_id, text), stored once with a key of their own for every row (ids may be null or repeated):
 
-1. A count sketch of fixed size (2**sketch_bits counters) over all shingles gives the global rare-first order.
+1. Count sketches of fixed size over all shingles (2**sketch_bits counters) and all words (2**word_bits) give the global
+   rare-first order: counters of shingles as far as they stand out from a full sketch, then the counts of the five words.
+   A sketch of shingles fills up as the table grows; words are few, so their counts stay apart.
 2. Every text yields its set size, a 128-bit fingerprint of the set, and its prefix: the n - ceil(t n) + 1 rarest
    shingles. Equal sets collapse into one class, named by its smallest row key (partial aggregates, so a group holding a
-   third of all rows collapses before the shuffle).
-3. Prefixes are exploded into posting lists. A list of at most `few` classes gives its pairs; those whose parity bitmaps
+   third of all rows collapses before the shuffle); the other rows of a class are told by their keys alone.
+3. Prefixes of the named rows are exploded into posting lists. A list of at most `few` classes gives its pairs; those whose parity bitmaps
    differ in more bits than a link's sets may in shingles go, so texts that share one shingle by chance are not tied. In a
    longer list, ordered by set size, every class is tied to the first class of
    its run; a run ends where the next size breaks the length filter, so a run holds every pair the list can give.
@@ -35,22 +37,24 @@ from pyspark.sql.window import Window
 
 from quarry.llm.common import BROADCAST_ROWS, cut, free_shuffles, remove, renamed, shared_folder, small_batches, small_side, stored, union
 from quarry.llm.graph import components as connected
-from quarry.llm.textkernel import U, column, mix, shingle_sets
+from quarry.llm.textkernel import U, column, gram_pieces, mix, sets_of, shingle_sets, weighed_sets
 
-WIDTH, PERCENT, SKETCH_BITS, BLOCK, HOT_LIST, FEW = 5, 80, 23, 1024, 4096, 64
+WIDTH, PERCENT, SKETCH_BITS, WORD_BITS, BLOCK, HOT_LIST, FEW = 5, 80, 23, 22, 1024, 4096, 64
 _SLICES = 256
 
 
-def _sketch(docs: DataFrame, width: int, bits: int) -> np.ndarray:
-    """Occurrences of shingles (once per document) in 2**bits hashed counters of one byte, over all rows; its size is fixed."""
+def _sketch(docs: DataFrame, width: int, bits: int, word_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of shingles (once per document) and of words (every place) over all rows: 2**bits and 2**word_bits hashed counters, in one byte each; the sizes are fixed."""
 
     def count(batches):
-        total = np.zeros(1 << bits, np.uint32)
+        total, words = np.zeros(1 << bits, np.uint32), np.zeros(1 << word_bits, np.uint32)
         for b in batches:
-            for s in shingle_sets(*column(b.column(0)), width):
-                np.add.at(total, (s >> U(64 - bits)).astype(np.int64), 1)
-        parts = [zlib.compress(p.tobytes(), 1) for p in total.reshape(_SLICES, -1)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array(parts, pa.binary())], ["k", "c"])
+            for piece in gram_pieces(*column(b.column(0)), width):
+                np.add.at(words, (piece[0] >> U(64 - word_bits)).astype(np.int64), 1)
+                for s in sets_of(*piece, width):
+                    np.add.at(total, (s >> U(64 - bits)).astype(np.int64), 1)
+        parts = [zlib.compress(p.tobytes(), 1) for t in (total, words) for p in t.reshape(_SLICES, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(2 * _SLICES), pa.int32()), pa.array(parts, pa.binary())], ["k", "c"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -58,14 +62,14 @@ def _sketch(docs: DataFrame, width: int, bits: int) -> np.ndarray:
             for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 c = np.frombuffer(zlib.decompress(c), np.uint32).astype(np.int64)
                 sums[k] = sums[k] + c if k in sums else c
-        coded = [scale(v).tobytes() for v in sums.values()]
+        coded = [(scale if k < _SLICES else weight)(v).tobytes() for k, v in sums.items()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(coded, pa.binary())], ["k", "c"])
 
     parts = docs.select("text").mapInArrow(count, "k int, c binary").repartition("k").mapInArrow(add, "k int, c binary").collect()
-    out = np.zeros((_SLICES, (1 << bits) // _SLICES), np.uint8)
+    shingles, words = (np.zeros((_SLICES, (1 << n) // _SLICES), np.uint8) for n in (bits, word_bits))
     for r in parts:
-        out[r.k] = np.frombuffer(r.c, np.uint8)
-    return out.reshape(-1)
+        (shingles if r.k < _SLICES else words)[r.k % _SLICES] = np.frombuffer(r.c, np.uint8)
+    return standing_out(shingles.reshape(-1)), words.reshape(-1)
 
 
 def scale(counts: np.ndarray) -> np.ndarray:
@@ -74,12 +78,30 @@ def scale(counts: np.ndarray) -> np.ndarray:
     return np.where(counts < 128, counts, np.minimum(steps, 255)).astype(np.uint8)
 
 
+def weight(counts: np.ndarray) -> np.ndarray:
+    """Counts in one byte each, 8 steps a doubling, so that sums of weights are in the order of products of counts."""
+    return np.minimum(np.floor(8 * np.log2(np.maximum(counts, 1))), 255).astype(np.uint8)
+
+
+def standing_out(sketch: np.ndarray) -> np.ndarray:
+    """The scaled counters, those within three deviations of the usual load of a counter made equal: a full counter says nothing of one shingle."""
+    usual = float(np.median(sketch))
+    usual = usual if usual < 128 else 128 * 2 ** ((usual - 128) / 8)
+    return np.maximum(sketch, scale(np.array(usual + 3 * usual**0.5)))
+
+
 def rare_first(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     """The set (sorted by hash) in the global order: rarest counter first, then by hash."""
     bits = U(64 - (len(sketch).bit_length() - 1))
     return s[np.argsort(sketch[(s >> bits).astype(np.int64)], kind="stable")]
 
 
+def rarest(s: np.ndarray, sums: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """As `rare_first`; shingles of equal counters go by the sums of their words' weights."""
+    bits = U(64 - (len(sketch).bit_length() - 1))
+    return s[np.argsort((sketch[(s >> bits).astype(np.int64)].astype(np.int64) << 32) + sums, kind="stable")]
+
+
 def prefix_length(n, percent: int):
     return n - (-(-percent * n // 100)) + 1
 
@@ -102,18 +124,18 @@ def may_link(n: int, x: bytes, k: int, y: bytes, percent: int) -> bool:
     return (v ^ int.from_bytes(y, "little")).bit_count() <= n + k - 2 * (-(-percent * (n + k) // (100 + percent)))
 
 
-def _signatures(docs: DataFrame, sketch, width: int, percent: int) -> DataFrame:
+def _signatures(docs: DataFrame, sketch, weights, width: int, percent: int) -> DataFrame:
     def run(batches):
         for b in batches:
             n, f1, f2, prefixes, parities = [], [], [], [], []
             with np.errstate(over="ignore"):
-                for s in shingle_sets(*column(b.column(1)), width):
+                for s, sums in weighed_sets(*column(b.column(1)), width, weights.value):
                     m = mix(s + U(0x632BE59BD9B4E019))
                     n.append(len(s))
                     f1.append(int(m.sum(dtype=U).view(np.int64)))
                     f2.append(int(mix(m).sum(dtype=U).view(np.int64)))
                     parities.append(parity(m) if len(m) else b"")
-                    prefixes.append(rare_first(s, sketch.value)[: prefix_length(len(s), percent)].view(np.int64) if len(s) else np.zeros(0, np.int64))
+                    prefixes.append(rarest(s, sums, sketch.value)[: prefix_length(len(s), percent)].view(np.int64) if len(s) else np.zeros(0, np.int64))
             at = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             flat = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -124,13 +146,41 @@ def _signatures(docs: DataFrame, sketch, width: int, percent: int) -> DataFrame:
     return docs.select("row", "text", "doc_id").mapInArrow(run, "row long, doc_id long, n int, f1 long, f2 long, prefix array<long>, parity binary")
 
 
+def _named(sig: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of sig that name their class (the smallest of its keys). Only keys and fingerprints are shuffled."""
+    full = sig.where("n > 0")
+    names = full.groupBy("f1", "f2").agg(F.min("row").alias("row")).select("row")
+    return _without(full, stored(full.select("row").join(names, "row", "left_anti")), limit)
+
+
+def _without(rows: DataFrame, gone: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """rows(row, ...) without the keys of gone(row), a stored table. Keys too many for one broadcast go by ranges of row, so that rows are not shuffled."""
+    parts = []
+    for low, high in _ranges(gone, "row", limit):
+        within = (F.col("row") >= low) & (F.col("row") < high)
+        parts.append(rows.where(within).join(small_side(gone.where(within), limit), "row", "left_anti"))
+    return union(parts)
+
+
+def _ranges(keys: DataFrame, column: str, limit: int) -> list[tuple[int, int]]:
+    """Ranges that cover all row keys, each with at most `limit` of keys unless those of one partition are more."""
+    starts, held = [0], 0
+    for p, k in sorted(tuple(r) for r in keys.groupBy(F.shiftright(column, 33).alias("p")).count().collect()):
+        if held and held + k > limit:
+            starts.append(p << 33)
+            held = 0
+        held += k
+    return list(zip(starts, [*starts[1:], (1 << 63) - 1], strict=True))
+
+
 def _lists(sig: DataFrame, classes: DataFrame, percent: int, hot: int, bits: int = 18, few: int = FEW, folder: str | None = None) -> DataFrame:
-    """Ties (a, b) between classes that share a prefix shingle and may pass the length filter, and the parity filter where at most `few` share it."""
+    """Ties (a, b) between classes (the rows of sig that name one) that share a prefix shingle and may pass the length filter, and the parity filter where at most `few` share it."""
     bucket = F.shiftrightunsigned("h", 64 - bits).cast("int")
-    load = sig.select(F.explode("prefix").alias("h")).groupBy(bucket.alias("bucket")).count()
+    load = stored(sig.select(F.explode("prefix").alias("h")).groupBy(bucket.alias("bucket")).count())
+    free_shuffles(sig.sparkSession)
     most = max(hot, 4 * (load.agg(F.avg("count")).first()[0] or 0))  # so at most a quarter of the counters are hot
     heavy = F.broadcast(load.where(F.col("count") > most).select("bucket", F.ceil(F.col("count") / hot).cast("int").alias("ways")))
-    p = classes.select("rep", "n", F.explode("prefix").alias("h")).withColumn("bucket", bucket).join(heavy, "bucket", "left")
+    p = classes.select(F.col("row").alias("rep"), "n", F.explode("prefix").alias("h")).withColumn("bucket", bucket).join(heavy, "bucket", "left")
     p = p.select("h", "n", "rep", F.coalesce(F.pmod(F.xxhash64("rep"), "ways"), F.lit(-1)).cast("int").alias("salt"))
     p = p.withColumn("c", F.count("*").over(Window.partitionBy("h", "salt"))).where("c > 1 or salt >= 0")
     p = stored(p, folder)  # most shingles have one class; the rest is read three times
@@ -313,23 +363,18 @@ def _large(members: DataFrame, sketch, width: int, percent: int, block: int) ->
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """d (the whole row, so that no column name matters) and row (a key of its own), stored: keys of rows that are computed again could differ."""
-    return stored(docs.select(F.struct(*docs.columns).alias("d"), F.monotonically_increasing_id().alias("row")))
+    return stored(docs.select(F.struct(*docs.columns).alias("d"), F.monotonically_increasing_id().alias("row")), compression="zstd")
 
 
 def _beside(docs: DataFrame, family: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """family(rep, ...) with the text of docs(row, text), row = rep. A family table too large for one broadcast goes by
     ranges of row, which lie in files of their own, so no text without a family is shuffled."""
-    cost = sorted(tuple(r) for r in family.groupBy(F.shiftright("rep", 33).alias("p")).count().collect())
-    ranges: list[list[int]] = []
-    for p, k in cost:
-        if not ranges or ranges[-1][2] + k > limit:
-            ranges.append([p << 33, p << 33, 0])
-        ranges[-1] = [ranges[-1][0], (p + 1) << 33, ranges[-1][2] + k]
+    ranges = _ranges(family, "rep", limit)
     texts = docs.select(F.col("row").alias("rep"), "text")
     if len(ranges) < 2:
         return texts.join(small_side(family, limit), "rep")
     family = stored(family)
-    within = [(F.col("rep") >= low) & (F.col("rep") < high) for low, high, _ in ranges]
+    within = [(F.col("rep") >= low) & (F.col("rep") < high) for low, high in ranges]
     return union([texts.where(w).join(small_side(family.where(w), limit), "rep") for w in within])
 
 
@@ -337,13 +382,12 @@ def _components(docs: DataFrame, width: int, percent: int, block: int, hot: int,
     """docs(row, doc_id, text) -> row, doc_id, n, label (the component's smallest row; null without words), component (its smallest doc_id)."""
     spark = docs.sparkSession
     small_batches(spark)
-    sketch = spark.sparkContext.broadcast(_sketch(docs, width, SKETCH_BITS))
+    sketch, weights = map(spark.sparkContext.broadcast, _sketch(docs, width, SKETCH_BITS, WORD_BITS))
     free_shuffles(spark)
-    sig = cut(_signatures(docs, sketch, width, percent))
+    sig = cut(_signatures(docs, sketch, weights, width, percent))
     full = sig.where("n > 0")
-    classes = full.groupBy("f1", "f2").agg(F.min("row").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     folder = shared_folder(spark, "lists")
-    family = connected(_lists(sig, classes, percent, hot, few=few, folder=folder))
+    family = connected(_lists(sig, _named(sig), percent, hot, few=few, folder=folder))
     remove(spark, folder)
     free_shuffles(spark)
     sizes = cut(family.groupBy("label").agg(F.count("*").alias("size")))
@@ -384,7 +428,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = cut(found.select("row", "doc_id", F.col("label").isNull().alias("blank"), F.coalesce("label", "doc_id").alias("of")).where("of is not null"))
     first = found.groupBy("blank", "of").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row"))["row"].alias("row"))
     gone = found.join(first.select("row"), "row", "left_anti").select("row")
-    return keyed.join(small_side(cut(gone)), "row", "left_anti").select("d.*")
+    return _without(keyed, cut(gone)).select("d.*")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -139,17 +139,42 @@ def grams(hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.
         return mix(whole[keep]), at
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[np.ndarray]:
-    """Each row's sorted distinct shingles: `width` words (split at white space), the whole sequence if it has fewer, none without words."""
+def gram_pieces(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each range of rows: word hashes (split at white space) and word offsets, `width`-word hashes and their offsets."""
     for lo, hi in pieces(offsets):
         part = offsets[lo : hi + 1]
         h, rows = words(data[part[0] : part[-1]], part - part[0], SPACES)
-        g, at = grams(h, rows, width)
-        for i in range(hi - lo):
-            size = rows[i + 1] - rows[i]
-            if size >= width:
-                yield np.unique(g[at[i] : at[i + 1]])
-            elif size:
-                yield grams(h[rows[i] : rows[i + 1]], np.array([0, size]), int(size))[0]
+        yield h, rows, *grams(h, rows, width)
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """Each row's sorted distinct shingles: `width` words (split at white space), the whole sequence if it has fewer, none without words."""
+    for piece in gram_pieces(data, offsets, width):
+        yield from sets_of(*piece, width)
+
+
+def sets_of(h: np.ndarray, rows: np.ndarray, g: np.ndarray, at: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """The sets of `shingle_sets` from a piece of `gram_pieces`."""
+    for i in range(len(rows) - 1):
+        size = rows[i + 1] - rows[i]
+        if size >= width:
+            yield np.unique(g[at[i] : at[i + 1]])
+        elif size:
+            yield grams(h[rows[i] : rows[i + 1]], np.array([0, size]), int(size))[0]
+        else:
+            yield h[:0]
+
+
+def weighed_sets(data: np.ndarray, offsets: np.ndarray, width: int, weights: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As `shingle_sets`, and beside every shingle the sum of its words' weights (a table by the top bits of a word's hash)."""
+    bits = U(64 - (len(weights).bit_length() - 1))
+    for h, rows, g, at in gram_pieces(data, offsets, width):
+        total = np.zeros(len(h) + 1, np.int64)
+        np.cumsum(weights[(h >> bits).astype(np.int64)], out=total[1:])
+        for i, s in enumerate(sets_of(h, rows, g, at, width)):
+            lo, hi = rows[i], rows[i + 1]
+            if hi - lo >= width:
+                sums = total[lo + width : hi + 1] - total[lo : hi + 1 - width]
+                yield s, sums[np.unique(g[at[i] : at[i + 1]], return_index=True)[1]]
             else:
-                yield h[:0]
+                yield s, np.full(len(s), total[hi] - total[lo])

@@ -13,7 +13,7 @@ import corpus_pipeline
 from quarry.llm import decontaminate, ngram_jaccard
 from quarry.llm.common import renamed
 from quarry.llm.graph import components
-from quarry.llm.textkernel import PUNCT, SPACES, column, words
+from quarry.llm.textkernel import PUNCT, SPACES, column, shingle_sets, weighed_sets, words
 
 LOW = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
 
@@ -140,6 +140,54 @@ def test_the_pipeline_compares_no_texts_that_share_one_shingle(spark, documents,
     assert sizes == [2]
 
 
+def test_full_counters_leave_rare_words_first(spark, documents, monkeypatch):
+    # Texts that share runs of common words; a sketch of shingles as full as that of a large table does not tell these from the rare ones.
+    r = random.Random(12)
+    common = [" ".join(r.choice(["the", "of", "and", "in", "to", "a", "is", "that"]) for _ in range(12)) for _ in range(6)]
+    texts = [" ".join(x for k in range(6) for x in (r.choice(common), f"w{i}a{k} w{i}b{k} w{i}c{k}")) for i in range(80)]
+    rows = [*enumerate(texts), (100, texts[0] + " x"), (101, texts[1])]
+    postings = []
+    monkeypatch.setattr(ngram_jaccard, "SKETCH_BITS", 8)
+    pairs = ngram_jaccard._pairs
+    monkeypatch.setattr(ngram_jaccard, "_pairs", lambda p, percent: postings.extend(map(tuple, p.select("h", "c").distinct().collect())) or pairs(p, percent))
+    assert sorted(map(tuple, ngram_jaccard.near_duplicates(documents(rows)).collect())) == brute(rows)
+    assert postings and {c for _, c in postings} == {2}  # those of the one near copy
+    out = corpus_pipeline.deduplicate(spark, documents(rows), "")
+    assert sorted(x.doc_id for x in out.collect()) == list(range(80))
+
+
+def test_neither_prefixes_nor_whole_rows_are_shuffled(spark, documents, monkeypatch):
+    plans = []
+    lists = ngram_jaccard._lists
+    monkeypatch.setattr(ngram_jaccard, "_lists", lambda sig, classes, *a, **k: plans.append(classes) or lists(sig, classes, *a, **k))
+    without = getattr(ngram_jaccard, "_without", None)
+    if without:
+        monkeypatch.setattr(ngram_jaccard, "_without", lambda rows, gone, limit=30: without(rows, gone, limit))  # as where the copies are too many for one broadcast
+    rows = corpus(6) + EDGES
+    docs = documents(rows).repartition(8)
+    out = corpus_pipeline.deduplicate(spark, docs, "")
+    assert sorted(x.doc_id for x in out.collect()) == sorted({c for _, _, c in brute(rows)})
+    for df in (plans[0], out):
+        assert not re.search(r"(?<!Broadcast)Exchange hashpartitioning", df._jdf.queryExecution().executedPlan().toString())
+
+
+@pytest.mark.parametrize("limit", [0, 3, 10**6])
+def test_rows_without_keys_by_ranges(spark, limit):
+    rows = spark.createDataFrame([((p << 33) + i, f"{p} {i}") for p in range(5) for i in range(4)], "row long, text string")
+    gone = rows.where("row % 3 = 1 and row >= 8589934592").select("row")
+    assert sorted(map(tuple, ngram_jaccard._without(rows, gone, limit).collect())) == sorted(map(tuple, rows.where("not (row % 3 = 1 and row >= 8589934592)").collect()))
+
+
+def test_weights_follow_the_words_of_a_shingle():
+    texts = [t for _, t in corpus(7, families=4)] + ["", None, "one", "a b c d", "a b c d e", "the the the the the the"]
+    data, offsets = column(pa.array(texts))
+    weights = np.arange(256, dtype=np.uint8)
+    one = lambda w: int(words(*column(pa.array([w])), SPACES)[0][0] >> np.uint64(56))
+    for text, (s, sums), plain in zip(texts, weighed_sets(data, offsets, 5, weights), shingle_sets(data, offsets, 5), strict=True):
+        assert s.tolist() == plain.tolist() and len(s) == len(sums)
+        assert sorted(sums.tolist()) == sorted(sum(map(one, g)) for g in shingles(text))
+
+
 @pytest.mark.parametrize("few", [0, 2, 64])
 def test_components_however_long_a_list_gives_pairs(documents, few):
     rows = corpus(5) + EDGES

@@ -141,10 +141,9 @@ def test_the_pipeline_compares_no_texts_that_share_one_shingle(spark, documents,
 
 
 def test_full_counters_leave_rare_words_first(spark, documents, monkeypatch):
-    # Texts that share runs of common words; a sketch of shingles as full as that of a large table does not tell these from the rare ones.
+    # Runs of common words meet by chance; a sketch of shingles as full as that of a large table does not tell these from the rare ones.
     r = random.Random(12)
-    common = [" ".join(r.choice(["the", "of", "and", "in", "to", "a", "is", "that"]) for _ in range(12)) for _ in range(6)]
-    texts = [" ".join(x for k in range(6) for x in (r.choice(common), f"w{i}a{k} w{i}b{k} w{i}c{k}")) for i in range(80)]
+    texts = [" ".join([*(r.choice(["the", "of", "and", "in", "to", "a", "is", "that"]) for _ in range(60)), *(f"w{i}a{k}" for k in range(30))]) for i in range(80)]
     rows = [*enumerate(texts), (100, texts[0] + " x"), (101, texts[1])]
     postings = []
     monkeypatch.setattr(ngram_jaccard, "SKETCH_BITS", 8)

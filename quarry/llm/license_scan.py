@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 THRESHOLD = 0.8
 
@@ -113,7 +114,8 @@ def words_of(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     # lower() only where every character is one byte: then it changes A-Z alone.
     low = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWERED))
-    return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    # Splitting yields the same words several times faster than matching them: Java runs a negated class character by character through nested calls.
+    return F.array_remove(F.split(low, BETWEEN, -1), "")
 
 
 def _frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:

@@ -30,7 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same characters as WORD without a negated class, which Java matches several times slower.
+WORD_JAVA = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 THRESHOLD = 0.8
 
@@ -114,8 +115,8 @@ def words_of(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     # lower() only where every character is one byte: then it changes A-Z alone.
     low = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWERED))
-    # Splitting yields the same words several times faster than matching them: Java runs a negated class character by character through nested calls.
-    return F.array_remove(F.split(low, BETWEEN, -1), "")
+    # Not a split, whose Java strings would double the memory of a long text.
+    return F.regexp_extract_all(low, F.lit(WORD_JAVA), F.lit(0))
 
 
 def _frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:

@@ -71,7 +71,7 @@ def test_license_words_are_the_matches_of_any_text(spark, folder):
     assert got == {i: WORD.findall((t or "").translate(LOW)) for i, t in rows}
 
 
-def test_license_words_cost_less_than_matching_each(spark, folder):
+def test_license_words_cost_less_than_by_a_negated_class(spark, folder):
     draw = random.Random(3)
     words = ["".join(draw.choices("abcdefghijklmnop", k=draw.randrange(1, 12))) for _ in range(500)]
     rows = [(i, " ".join(draw.choices(words, k=1500))) for i in range(2000)]
